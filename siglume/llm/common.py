@@ -25,5 +25,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def per_worker(key, make):
+    """One object for each Python worker process, whatever task asks first; the last few keys are kept."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_siglume_held", types.ModuleType("_siglume_held")).__dict__.setdefault("kept", {})
+    if key not in held:
+        while len(held) >= 4:
+            held.pop(next(iter(held)))
+        held[key] = make()
+    return held[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
