@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, quality_rules, sharding, url_filter
+from . import bpe, decontaminate, pii, quality_rules, sharding, url_filter
 from .common import table
 
 
@@ -29,6 +29,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.replace(table(spark, sf_dir, "documents"))
+    kinds = F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"])))
+    return out.select("doc_id", "text", "n_entities", F.array_join(kinds, ",").alias("kinds"), F.array_join(F.transform("entities", lambda e: e["surrogate"]), "\n").alias("surrogates"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = sharding.pack(table(spark, sf_dir, "documents"), shards=16)
     return packed.select(
@@ -47,6 +53,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op4_decontamination": op4_decontamination,
+    "op6_pii": op6_pii,
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
