@@ -95,6 +95,8 @@ def _hits(doc: np.ndarray, values: np.ndarray, known: np.ndarray, n: int) -> np.
     return np.bincount(doc[known[at] == values], minlength=n)
 
 
+#: most that a labeller may call good documents bad
+FALSE_ALARM = 0.02
 #: share above which a labeller votes bad, and below which it votes good
 LIMITS = {"symbols": (0.03, 0.01), "capitals": (0.5, 0.2), "stutter": (0.2, 0.05), "lines": (0.3, 0.05), "triples": (0.5, 0.15), "tails": (0.2, 0.05)}
 
@@ -110,34 +112,38 @@ def _votes(parts: dict, n: int, insults: np.ndarray, lexicon: np.ndarray, beginn
     for known, values, keep in ((insults, parts["words"], None), (lexicon, parts["words"], None), (beginnings, parts["heads"], parts["long"])):
         doc = parts["doc"] if keep is None else parts["doc"][keep]
         hit = _hits(doc, values if keep is None else values[keep], known, n)
-        t = t * 3 + np.where(hit > 0, 2, np.where((parts["count"] >= 20) & (len(known) > 0), 1, 0))
+        t = t * 3 + np.where(hit > 0, 2, np.where((parts["count"] > 0) & (len(known) > 0), 1, 0))
     return q, t
 
 
-def fit_label_model(counts: dict[int, int], labellers: int, prior: float, rounds: int = 60) -> dict:
-    """EM over pattern counts. Returns prior, accuracies ``p[labeller][class][vote]`` and the posterior of bad per pattern.
+def fit_label_model(counts: dict[int, int], labellers: int, prior: float, rounds: int = 80) -> dict:
+    """EM over pattern counts. Returns the share of bad, accuracies ``p[labeller][class][vote]`` and the posterior of bad per pattern.
 
-    Votes are independent given the class. The start trusts every labeller at 0.8, which fixes which class
-    is which; add-one smoothing keeps unanimous tables finite; no document gives the prior itself.
+    Votes are independent given the class. Bad documents are of several kinds that set off different
+    labellers, so class 0 is good and classes 1 to ``labellers`` are the kinds of bad, each started with full
+    trust in one labeller; the posterior of bad is their sum. A labeller's false alarms on good documents are
+    held to ``FALSE_ALARM``; add-one smoothing keeps unanimous tables finite; no document gives no pattern.
     """
     patterns = sorted(counts)
     weight = np.array([counts[p] for p in patterns], dtype=float)
     votes = np.array([[p // 3**k % 3 for k in reversed(range(labellers))] for p in patterns], dtype=int).reshape(-1, labellers)
-    p = np.full((labellers, 2, 3), 1 / 3)
-    p[:, 0, 1], p[:, 0, 2], p[:, 1, 1], p[:, 1, 2] = 0.55, 0.12, 0.25, 0.42
-    share, post = prior, np.zeros(len(patterns))
+    kinds = labellers + 1
+    p = np.tile(np.array([0.3, 0.4, 0.3]), (labellers, kinds, 1))
+    p[:, 0] = (0.3, 0.69, 0.01)
+    for j in range(labellers):
+        p[j, j + 1] = (0.04, 0.01, 0.95)
+    share = np.array([1 - prior] + [prior / labellers] * labellers)
+    post = np.zeros((len(patterns), kinds))
     for _ in range(rounds if len(patterns) else 0):
-        like = [np.log(s) + sum(np.log(p[j, c, votes[:, j]]) for j in range(labellers)) for c, s in ((0, 1 - share), (1, share))]
-        post = 1 / (1 + np.exp(np.clip(like[0] - like[1], -500, 500)))
-        share = float(np.clip((weight * post).sum() / weight.sum(), 1e-4, 0.5))
-        for c, r in ((0, 1 - post), (1, post)):
-            for j in range(labellers):
-                mass = np.bincount(votes[:, j], weights=weight * r, minlength=3) + 1
-                p[j, c] = mass / mass.sum()
-        # a bad vote never speaks for good
-        p[:, 1, 2] = np.maximum(p[:, 1, 2], p[:, 0, 2] * 1.05)
-        p /= p.sum(axis=2, keepdims=True)
-    return {"prior": share, "accuracy": p, "posterior": dict(zip(patterns, post))}
+        like = np.log(share) + sum(np.log(p[j][:, votes[:, j]]).T for j in range(labellers))
+        post = np.exp(like - like.max(axis=1, keepdims=True))
+        post /= post.sum(axis=1, keepdims=True)
+        share = np.maximum((weight[:, None] * post).sum(axis=0) / weight.sum(), 1e-7)
+        for j in range(labellers):
+            mass = np.stack([np.bincount(votes[:, j], weights=weight * post[:, c], minlength=3) for c in range(kinds)]) + 1
+            p[j] = mass / mass.sum(axis=1, keepdims=True)
+        p[:, 0, 2] = np.minimum(p[:, 0, 2], FALSE_ALARM)
+    return {"prior": float(1 - share[0]), "accuracy": p, "posterior": dict(zip(patterns, 1 - post[:, 0]))}
 
 
 def _features(parts: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,14 +160,14 @@ def _features(parts: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
-def train(rows: list[np.ndarray], target: np.ndarray, penalty: float = 3e-4, rounds: int = 150) -> tuple[np.ndarray, float]:
+def train(rows: list[np.ndarray], target: np.ndarray, penalty: float = 1e-3, rounds: int = 150) -> tuple[np.ndarray, float]:
     """L1 logistic regression by accelerated proximal gradient over binary sparse rows; soft targets."""
     size = np.array([len(r) for r in rows])
     if not len(rows) or not size.sum():
         return np.zeros(1 << BITS), -5.0
     cols, inverse = np.unique(np.concatenate(rows), return_inverse=True)
     row = np.repeat(np.arange(len(rows)), size)
-    often = np.bincount(inverse, minlength=len(cols)) >= 3
+    often = np.bincount(inverse, minlength=len(cols)) >= 5
     keep = often[inverse]
     inverse, row = inverse[keep], row[keep]
     n, scale = len(rows), np.sqrt(np.bincount(inverse, minlength=len(cols)) + 1.0)
@@ -211,8 +217,11 @@ def _lexicon(docs: DataFrame, labels: DataFrame, max_labels: int, limit: int = 5
             for kind, u, n, t in found:
                 yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(u), kind, np.int32)), "h": pa.array(u.view(np.int64)), "n": pa.array(n), "t": pa.array(t)})
 
-    seen = some.mapInArrow(kernel, "kind int, h long, n long, t long").groupBy("kind", "h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    best = seen.where("t >= 4 and t >= 0.97 * n").orderBy(F.desc("t"), "h").limit(2 * limit).collect()
+    seen = materialize(some.mapInArrow(kernel, "kind int, h long, n long, t long").groupBy("kind", "h").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "lexicon")
+    # so many toxic documents that chance gives none of the words seen here that often
+    share, words = chosen.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0, max(seen.count(), 1)
+    least = max(4, int(np.ceil(np.log(1e-2 / words) / np.log(min(max(share, 1e-3), 0.9)))))
+    best = seen.where(f"t >= {least} and t >= 0.97 * n").orderBy(F.desc("t"), "h").limit(2 * limit).collect()
     pick = lambda kind: np.sort(np.array([r["h"] for r in best if r["kind"] == kind], dtype=np.int64).view(np.uint64))
     return pick(0), pick(1)
 

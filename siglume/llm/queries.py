@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, pii, quality_rules, sharding, url_filter
+from . import bpe, decontaminate, pii, quality_classifier, quality_rules, sharding, url_filter
 from .common import table
 
 
@@ -29,6 +29,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_classifier.classify(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.replace(table(spark, sf_dir, "documents"))
     kinds = F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"])))
@@ -53,6 +58,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op4_decontamination": op4_decontamination,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_pii": op6_pii,
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
