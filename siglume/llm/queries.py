@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, jaccard_join, line_dedup, pii, quality_classifier, quality_rules, sharding, url_filter
+from . import bpe, decontaminate, jaccard_join, line_dedup, pii, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_entities", F.array_join(kinds, ",").alias("kinds"), F.array_join(F.transform("entities", lambda e: e["surrogate"]), "\n").alias("surrogates"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = sharding.pack(table(spark, sf_dir, "documents"), shards=16)
     return packed.select(
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_pii": op6_pii,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
