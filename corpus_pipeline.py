@@ -1,24 +1,61 @@
-"""Corpus pipeline: STAGES of (name, function), each called with (spark, docs, sf_dir)."""
+"""Corpus pipeline: STAGES of (name, function), each called with (spark, docs, sf_dir).
+
+Every stage works on all rows of the stage before it and returns the columns of ``documents``; the last
+returns the encoded documents. Stages communicate by Parquet in the shared folder alone.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siglume.llm import decontaminate
+from siglume.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_classifier
 from siglume.llm.common import materialize, table
+from siglume.llm.queries import vocabulary
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the weak-label classifier calls low quality or toxic."""
+    rated = quality_classifier.classify(docs, table(spark, sf_dir, "labels"))
+    return rated.where("kept").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated lines out of the texts; ``n_chars`` follows."""
+    out = line_dedup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark window."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group that five-word shingles at Jaccard 0.8 or more connect."""
+    return jaccard_join.keep_one(docs, n=5, percent=80)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold ten consecutive words of a benchmark item."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), n=10, mode="documents")
 
 
-STAGES = [("benchmark_decontamination", benchmark_decontamination)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with digests of the ids and of the decoded text."""
+    return bpe.encode_documents(docs, vocabulary(), with_ids=True)
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("line_dedup", lines),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", benchmark),
+    ("bpe", encode),
+]
+
+#: The classifier's training and the tokenizer can't be expressed in SQL; tests/llm holds brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

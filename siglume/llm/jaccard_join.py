@@ -77,7 +77,7 @@ def _order(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int, listed) -> DataFrame:
-    """``doc_id, n_shingles, k1, k2, prefix`` for each row."""
+    """``doc_id, th, n_shingles, k1, k2, prefix`` for each row; ``th`` is the hash of its text."""
 
     def kernel(batches):
         import pyarrow as pa
@@ -106,12 +106,13 @@ def _prefixes(docs: DataFrame, n: int, percent: int, listed) -> DataFrame:
                     rest = s[common][np.argsort(by_hash[at[common]], kind="stable")]
                     heads.append(np.concatenate([rare, rest])[:length].view(np.int64))
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "n_shingles": pa.array(size, pa.int64()), "k1": pa.array(k1, pa.int64()),
+                "doc_id": batch.column("doc_id"), "th": batch.column("th"), "n_shingles": pa.array(size, pa.int64()), "k1": pa.array(k1, pa.int64()),
                 "k2": pa.array(k2, pa.int64()), "prefix": pa.array(heads, pa.list_(pa.int64())),
             })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(kernel, f"doc_id {kind}, n_shingles long, k1 long, k2 long, prefix array<long>")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return hashed.mapInArrow(kernel, f"doc_id {kind}, th long, n_shingles long, k1 long, k2 long, prefix array<long>")
 
 
 def _sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
@@ -199,7 +200,7 @@ def _labels(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def link_sets(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Rows ``doc_id, n_shingles, k1, k2`` and links ``p, x`` between set ids (``k1``) that connect exactly the sets
+    """Rows ``doc_id, th, n_shingles, k1, k2`` and links ``p, x`` between set ids (``k1``) that connect exactly the sets
     that a chain of pairs at or above ``percent`` connects."""
     spark = docs.sparkSession
     listed = spark.sparkContext.broadcast(_order(docs, n))
@@ -259,3 +260,22 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     return rows.join(low, "k1", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each linked group: the one of smallest doc_id (null last), then text hash.
+
+    Documents without words link with nothing and all stay; of rows with the same doc_id and text one stays.
+    """
+    rows, links = link_sets(docs, n, percent)
+    home = connected_components(links.select(F.col("p").alias("u"), F.col("x").alias("v")))
+    rows = rows.join(home.select(F.col("node").alias("k1"), "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    chosen = rows.where("n_shingles > 0").groupBy("root").agg(F.min(who).alias("w")).select("w.doc_id", "w.th")
+    chosen = chosen.unionByName(rows.where("n_shingles = 0").select("doc_id", "th").distinct())
+    chosen = materialize(chosen.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")), "jaccard-kept")
+    hashed = docs.withColumn("_th", F.xxhash64("text"))
+    kept = hashed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left_semi")
+    if not rows.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_th"])
+    return kept.select(*docs.columns)
