@@ -20,8 +20,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out of the texts; ``n_chars`` follows."""
+    """Takes repeated lines out of the texts; ``n_chars`` follows. A document all of whose lines stand elsewhere goes."""
     out = line_dedup.dedup_lines(docs)
+    out = out.where((F.col("n_exact") + F.col("n_near") == 0) | F.col("text").rlike(r"[^\s]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
