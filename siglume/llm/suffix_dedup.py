@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import materialize
 
-WIDTH, K_BYTES, SHALLOW = 100, 48, 16
+WIDTH, K_BYTES, SHALLOW = 100, 32, 16
 #: Anchors with at least this many occurrences, and a 100,000th of all, are split into single strings: 100,000 at most.
 HOT = 4096
 #: Strings that one sort holds (beyond one anchor's own).
