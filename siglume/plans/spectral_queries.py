@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Window as W, functions as F
 
 from siglume.functions.scalars import upper_mad, upper_median
@@ -41,7 +39,8 @@ def spectral_centroid(spark, sf_dir):
 SELECT frame, round(sum(greatest(coalesce(d, 0), 0)), 6) AS flux FROM f GROUP BY 1""")
 def spectral_flux(spark, sf_dir):
     v = F.transform("v", lambda x: F.abs(x))
-    f = sig_frames(spark, sf_dir).select("frame", v.alias("m")).withColumn("p", F.lag("m").over(W.orderBy("frame")))
+    f = sig_frames(spark, sf_dir).select("frame", v.alias("m"))
+    f = f.join(f.select((F.col("frame") + 1).alias("frame"), F.col("m").alias("p")), "frame", "left")  # a lag without one sorted task
     rise = F.aggregate(F.zip_with("m", "p", lambda a, b: F.greatest(a - b, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
     return rounded(f.select("frame", F.coalesce(rise, F.lit(0.0)).alias("flux")))
 
@@ -176,6 +175,3 @@ def section_bounds(spark, sf_dir):
     picked = found.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("i", "f"))).alias("p")).select(F.inline(suppress(F.col("p"), 4)))
     ranked = picked.withColumn("r", F.row_number().over(W.orderBy(F.desc("f"), "i"))).where("r <= 11")
     return rounded(ranked.select(F.col("i").alias("boundary"), F.col("f").alias("nov")), places=5)
-
-
-del math

@@ -42,10 +42,10 @@ def frame_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``track, note, at, dur, midi, vel`` in ticks of 480 a quarter."""
+    """``track, note, onset, dur, midi, vel`` in ticks of 480 a quarter."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "value", _place("ts", "event_id").alias("i"))
     return e.select(
-        F.col("user_id").alias("track"), F.col("i").alias("note"), (F.col("i") * 240 + F.pmod(F.col("event_id"), F.lit(97))).alias("at"),
+        F.col("user_id").alias("track"), F.col("i").alias("note"), (F.col("i") * 240 + F.pmod(F.col("event_id"), F.lit(97))).alias("onset"),
         (60 + F.pmod(F.col("event_id") * 7, F.lit(360))).alias("dur"), (36 + F.pmod(F.col("user_id"), F.lit(48))).alias("midi"),
         (1 + F.pmod(F.col("event_id"), F.lit(127))).alias("vel"), (F.col("value") / 512).alias("x"),
     )
@@ -63,7 +63,7 @@ SQL = {
     "stereo": "stereo AS (SELECT l_suppkey AS signal_id, l_discount AS l, l_tax AS r FROM lineitem)",
     "frames": "frames AS (SELECT vec_id AS frame, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
     "bins": "bins AS (SELECT vec_id AS frame, label, CAST(b - 1 AS BIGINT) AS bin, abs(CAST(embedding[b] AS DOUBLE)) AS m FROM embeddings, range(1, 65) t(b))",
-    "notes": "notes AS (SELECT user_id AS track, i AS note, i * 240 + event_id % 97 AS at, 60 + (event_id * 7) % 360 AS dur, 36 + user_id % 48 AS midi, 1 + event_id % 127 AS vel, value / 512 AS x FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS i FROM events))",
+    "notes": "notes AS (SELECT user_id AS track, i AS note, i * 240 + event_id % 97 AS onset, 60 + (event_id * 7) % 360 AS dur, 36 + user_id % 48 AS midi, 1 + event_id % 127 AS vel, value / 512 AS x FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS i FROM events))",
     "runs": "runs AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS i, event_type AS label FROM events)",
 }
 
