@@ -38,5 +38,40 @@ def per_worker(key, make):
     return held[key]
 
 
+#: Id tables up to this many rows (16 bytes each) are broadcast after a count; larger ones are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it has few enough rows."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def bitmap(ids: DataFrame, column: str):
+    """Bitmap over the low bits of 64-bit hashes (16 bits an id, 128 MB at most), built by the executors; a scan can test
+    it before anything is shuffled. A set bit may be another id's: it needs an exact check later."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    count = max(ids.count(), 1)
+    bits = 1 << min(30, max(20, (16 * count - 1).bit_length()))
+    place = F.col(column).bitwiseAND(F.lit(bits - 1))
+    maps = ids.select(F.shiftright(place, 15).alias("b"), place.alias("p")).groupBy("b").agg(F.bitmap_construct_agg(F.pmod("p", F.lit(32768))).alias("m"))
+    whole = np.zeros((bits >> 15, 4096), dtype=np.uint8)
+    for r in maps.toLocalIterator():
+        whole[r["b"]] = np.frombuffer(r["m"], dtype=np.uint8)
+    return whole.ravel()
+
+
+def in_bitmap(table, values):
+    """Which of the 64-bit ``values`` have their bit set."""
+    import numpy as np
+
+    at = (values.view(np.uint64) & np.uint64(len(table) * 8 - 1)).astype(np.int64)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,14 +1,16 @@
 """Exact n-gram Jaccard join in the metric space of shingle sets.
 
-Jaccard distance is a metric. Pivots create Voronoi-like regions: sets that share a rare shingle (one among
-their first ``n - ceil(t n) + 1`` in a global order, rarest first, so that every pair at or above the
-threshold ``t`` shares one) meet in a block, the block's first set is its pivot, and all blocks of one pivot
-are one region. Every set goes to each region it may have a partner in, which is how boundary sets are
-replicated, and learns its exact distance to the pivot. Regions whose members aren't all connected yet are
-joined again around a further pivot, over those members only whose distances to the first pivot differ by no
-more than the radius (triangle inequality); after ``rounds`` rounds the few sets left unconnected are
-compared with all members of their region inside their window. No link between different sets is lost,
-and no pair inside an already connected part of a region is ever formed.
+Jaccard distance is a metric. Pivots create Voronoi-like regions: sets that share a shingle among their first
+``n - ceil(t n) + l`` in a global order, rarest first, meet in a block, the block's first set is its pivot, and
+all blocks of one pivot are one region. (Every pair at or above the threshold ``t`` shares ``l = n // 16`` of them,
+at least one; sets whose prefix holds fewer shared shingles have no partner and go no further.) Every set goes
+to each region it may have a partner in, which is how boundary sets are replicated, and learns its exact
+distance to the pivot. Regions whose members aren't all connected yet are joined again around a further pivot,
+over those members only whose distances to the first pivot differ by no more than the radius (triangle
+inequality). Before all that, one pivot for each set of connected blocks closes most of them at the price of one
+distance a set; after ``rounds`` rounds the few sets left unconnected are compared with all members of their
+region inside their window. No link between different sets is lost, and no pair inside an already connected
+part of a region is ever formed.
 
 Equal sets are one set from the start. Orders come from a bounded sample and change cost only, never results.
 """
@@ -18,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import bitmap, in_bitmap, materialize, small
 from .components import connected_components
 
 #: Documents whose shingles give the global order, and shingles that the order lists (8 bytes each, broadcast).
@@ -57,6 +59,11 @@ def _identity(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in K.mix(pair + np.uint64(len(s))).view(np.int64))
 
 
+def common_keys(n: int) -> int:
+    """Shingles that sets of this size share at least in their prefixes, if they link with a set no smaller."""
+    return max(1, n // 16)
+
+
 def _order(docs: DataFrame, n: int) -> np.ndarray:
     """Hashes of the shingles found most often in a sample of distinct texts, rarest first."""
     total = docs.count()
@@ -93,7 +100,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, listed) -> DataFrame:
                 a, b = _identity(s)
                 k1.append(a)
                 k2.append(b)
-                length = m - (percent * m + 99) // 100 + 1 if m else 0
+                length = min(m, m - (percent * m + 99) // 100 + common_keys(m)) if m else 0
                 if not len(values):
                     heads.append(s[:length].view(np.int64))
                     continue
@@ -116,17 +123,9 @@ def _prefixes(docs: DataFrame, n: int, percent: int, listed) -> DataFrame:
 
 
 def _sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """``sid, n, set`` of the wanted set ids, one row each. A bitmap of wanted ids (16 bits each, 128 MB at most)
-    lets the scan pass over most texts before anything is shuffled; a join removes its false positives."""
-    count = max(wanted.count(), 1)
-    bits = 1 << min(30, max(20, (16 * count - 1).bit_length()))
-    words = bits >> 15
-    place = F.pmod(F.xxhash64("sid"), F.lit(bits))
-    maps = wanted.select(F.shiftright(place, 15).alias("b"), place.alias("p")).groupBy("b").agg(F.bitmap_construct_agg(F.pmod("p", F.lit(32768))).alias("m")).collect()
-    whole = np.zeros((words, 4096), dtype=np.uint8)
-    for r in maps:
-        whole[r["b"]] = np.frombuffer(r["m"], dtype=np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(whole.ravel())
+    """``sid, n, set`` of the wanted set ids, one row each. A bitmap lets the scan pass over most texts before anything is
+    shuffled; a join removes its false positives."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "sid"))
 
     def kernel(batches):
         import pyarrow as pa
@@ -134,35 +133,24 @@ def _sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             ids, size, sets = [], [], []
             for _, s in _shingles(batch.column("text"), n):
-                if len(s):
-                    ids.append(_identity(s)[0])
+                if len(s) and in_bitmap(sent.value, np.array([k := _identity(s)[0]], dtype=np.int64))[0]:
+                    ids.append(k)
                     size.append(len(s))
                     sets.append(s.view(np.int64))
             yield pa.RecordBatch.from_pydict({"sid": pa.array(ids, pa.int64()), "n": pa.array(size, pa.int64()), "set": pa.array(sets, pa.list_(pa.int64()))})
 
-    # the bitmap test runs in a second kernel on ids hashed by Spark, so both sides use one hash function
-    def sieve(batches):
-        import pyarrow as pa
-
-        table = sent.value
-        for batch in batches:
-            at = batch.column("at").to_numpy()
-            keep = table[at >> 3] >> (at & 7).astype(np.uint8) & 1
-            yield batch.filter(pa.array(keep.astype(bool)))
-
-    hashed = docs.select("text").mapInArrow(kernel, "sid long, n long, set array<long>").withColumn("at", place)
-    passed = hashed.mapInArrow(sieve, "sid long, n long, set array<long>, at long").drop("at")
-    return materialize(passed.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-sets")
+    passed = docs.select("text").mapInArrow(kernel, "sid long, n long, set array<long>")
+    return materialize(passed.join(small(wanted), "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-sets")
 
 
 def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``p, x, inter, np, nx, link`` for pairs of set ids. Each pivot's set is sent once to each of its salts, each
     member's set once for each pivot; a task holds one pivot and one member at a time."""
-    pairs = pairs.select("p", "x")
+    pairs = materialize(pairs.select("p", "x"), "jaccard-pairs")
     load = pairs.groupBy("p").agg(F.ceil(F.count("*") / 1000).cast("int").alias("salts"))
     members = pairs.join(load, "p").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int"))
-    members = members.join(sets.withColumnRenamed("sid", "x"), "x").select("p", "salt", F.lit(1).alias("role"), "x", "n", "set")
-    pivots = load.join(sets.withColumnRenamed("sid", "p"), "p").select("p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("p").alias("x"), "n", "set")
+    members = sets.withColumnRenamed("sid", "x").join(small(members), "x").select("p", "salt", F.lit(1).alias("role"), "x", "n", "set")
+    pivots = sets.withColumnRenamed("sid", "p").join(small(load), "p").select("p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("p").alias("x"), "n", "set")
     rows = members.unionByName(pivots)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "p", "salt").sortWithinPartitions("p", "salt", "role")
@@ -205,16 +193,61 @@ def link_sets(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 2) -
     spark = docs.sparkSession
     listed = spark.sparkContext.broadcast(_order(docs, n))
     rows = materialize(_prefixes(docs, n, percent, listed), "jaccard-rows")
-    sets = rows.where("n_shingles > 0").groupBy("k1").agg(F.min("k2").alias("a"), F.max("k2").alias("b"), F.min("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
-    sets = sets.withColumn("sid", F.when(F.col("a") == F.col("b"), F.col("k1")).otherwise(F.raise_error(F.lit("two sets share a 64-bit identity"))))
-    keys = materialize(sets.select("sid", "n", F.explode("prefix").alias("key")), "jaccard-keys")
-    blocks = keys.groupBy("key").agg(F.min("sid").alias("p"), F.max("sid").alias("q")).where("p <> q").select("key", "p")
-    members = keys.join(blocks, "key").where("sid <> p").select("p", F.col("sid").alias("x"), "n").distinct()
-    members = materialize(members, "jaccard-members")
-    wanted = members.select(F.col("p").alias("sid")).unionByName(members.select(F.col("x").alias("sid"))).distinct()
-    whole = _sets(docs, n, materialize(wanted, "jaccard-wanted"))
+    rows = rows.withColumn("rh", F.xxhash64("doc_id", "th"))
+    one = rows.where("n_shingles > 0").groupBy("k1").agg(F.min("rh").alias("rh"), F.min("k2").alias("a"), F.max("k2").alias("b"))
+    one = one.select(F.when(F.col("a") == F.col("b"), F.col("rh")).otherwise(F.raise_error(F.lit("two sets share a 64-bit identity"))).alias("rh"))
+    # one row speaks for all equal sets; a few others may pass the bitmap, which only costs time
+    speaks = spark.sparkContext.broadcast(bitmap(materialize(one, "jaccard-speakers"), "rh"))
+
+    def spoken(batch):
+        import pyarrow as pa
+
+        batch = batch.filter(pa.array(in_bitmap(speaks.value, batch.column("rh").to_numpy())))
+        prefix = batch.column("prefix")
+        cuts = prefix.offsets.to_numpy()
+        return batch, prefix.values.to_numpy()[cuts[0] : cuts[-1]] if len(cuts) else np.zeros(0, np.int64), np.diff(cuts)
+
+    def all_keys(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"key": pa.array(spoken(batch)[1], pa.int64())})
+
+    prefixes = rows.where("n_shingles > 0").select(F.col("k1").alias("sid"), F.col("n_shingles").alias("n"), "rh", "prefix")
+    shared = prefixes.mapInArrow(all_keys, "key long").groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shared = materialize(shared, "jaccard-shared")
+    sent = spark.sparkContext.broadcast(bitmap(shared, "key"))
+
+    def sieve(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            batch, flat, size = spoken(batch)
+            keep = in_bitmap(sent.value, flat)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            n = batch.column("n").to_numpy()
+            least = np.maximum(1, (percent * n + 99) // 100 // 16)
+            enough = np.bincount(row[keep], minlength=batch.num_rows) >= least  # fewer shared keys: no partner anywhere
+            keep &= enough[row]
+            row = pa.array(row[keep])
+            yield pa.RecordBatch.from_pydict({"sid": batch.column("sid").take(row), "n": batch.column("n").take(row), "key": pa.array(flat[keep])})
+
+    keys = prefixes.mapInArrow(sieve, "sid long, n long, key long").join(small(shared), "key").distinct()
+    keys = materialize(keys, "jaccard-keys")
+    blocks = keys.groupBy("key").agg(F.min("sid").alias("p"))
+    members = materialize(keys.join(blocks, "key"), "jaccard-members")
+    apart = members.where("sid <> p").select("p", F.col("sid").alias("x"))
+    # coarse regions first: all that shared shingles connect, around one pivot each; this closes most blocks
+    coarse = materialize(connected_components(apart.distinct().select(F.col("p").alias("u"), F.col("x").alias("v"))), "jaccard-coarse")
+    whole = _sets(docs, n, coarse.select(F.col("node").alias("sid")))
+    stars = coarse.where("node <> root").select(F.col("root").alias("p"), F.col("node").alias("x"))
+    links = materialize(_distances(stars, whole, percent).where("link").select("p", "x"), "jaccard-links")
+    home = connected_components(links.select(F.col("p").alias("u"), F.col("x").alias("v"))).select(F.col("node").alias("sid"), "root")
+    homed = members.join(materialize(home, "jaccard-home"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    still = homed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    members = members.where("sid <> p").join(still, "key", "left_semi").select("p", F.col("sid").alias("x"), "n").distinct()
     first = materialize(_distances(members, whole, percent), "jaccard-distances")
-    links = first.where("link").select("p", "x")
+    links = links.unionByName(first.where("link").select("p", "x"))
     radius = (100 - percent) / 100 + 1e-9
     region = first.select("p", "x", "d", F.col("nx").alias("n"))
     done = None  # (p, y): members that were pivots of the region already
@@ -235,7 +268,7 @@ def link_sets(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 2) -
         near = near.where((F.col("x") != F.col("y")) & (F.col("cx") != F.col("cy")) & (F.abs(F.col("d") - F.col("dy")) <= radius))
         near = near.where((100 * F.col("n") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("n")))
         fresh = near.select(F.col("y").alias("p"), "x").distinct()
-        links = links.unionByName(_distances(materialize(fresh, "jaccard-fresh"), whole, percent).where("link").select("p", "x"))
+        links = links.unionByName(_distances(fresh, whole, percent).where("link").select("p", "x"))
         done = chosen if done is None else done.unionByName(chosen)
     return rows.drop("prefix"), materialize(links, "jaccard-links")
 

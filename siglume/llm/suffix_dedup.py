@@ -21,7 +21,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import materialize
+from .common import bitmap, in_bitmap, materialize
 
 WIDTH, K_BYTES, SHALLOW = 100, 32, 16
 #: Anchors with at least this many occurrences, and a 100,000th of all, are split into single strings: 100,000 at most.
@@ -143,18 +143,6 @@ def _merge(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return rows[begin], a[begin], top[end] - shift[begin]
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Bitmap of the ids' hashes (16 bits each, 128 MB at most), built by the executors."""
-    count = max(ids.count(), 1)
-    bits = 1 << min(30, max(20, (16 * count - 1).bit_length()))
-    place = F.col("ah").bitwiseAND(F.lit(bits - 1))
-    maps = ids.select(F.shiftright(place, 15).alias("b"), place.alias("p")).groupBy("b").agg(F.bitmap_construct_agg(F.pmod("p", F.lit(32768))).alias("m"))
-    whole = np.zeros((bits >> 15, 4096), dtype=np.uint8)
-    for r in maps.toLocalIterator():
-        whole[r["b"]] = np.frombuffer(r["m"], dtype=np.uint8)
-    return whole.ravel()
-
-
 def repeats(docs: DataFrame, width: int = WIDTH, k: int = K_BYTES) -> DataFrame:
     """``d, th, a, b``: byte ranges to remove. ``docs`` has ``d`` (order of documents), ``th`` (hash of the text), ``text``."""
     spark = docs.sparkSession
@@ -171,7 +159,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, k: int = K_BYTES) -> DataFrame:
     seen = materialize(seen.where("n > 1"), "suffix-anchors")
     total = seen.agg(F.sum("n")).first()[0] or 0
     hot = np.sort(np.array([r["ah"] for r in seen.where(F.col("n") >= max(HOT, total // 100_000)).select("ah").collect()], dtype=np.int64))
-    sent = spark.sparkContext.broadcast((_bitmap(seen.select("ah")), hot))
+    sent = spark.sparkContext.broadcast((bitmap(seen, "ah"), hot))
 
     def emit(batches):
         import pyarrow as pa
@@ -179,13 +167,11 @@ def repeats(docs: DataFrame, width: int = WIDTH, k: int = K_BYTES) -> DataFrame:
         from siglume.llm import tokens as K
 
         table, often = sent.value
-        bits = np.uint64(len(table) * 8 - 1)
         for batch in batches:
             parts = []
             d, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "th"))
             for lo, buf, off, cum, powers, doc, ah, a, count, shift in _segments(batch.column("text"), width, k):
-                at = (ah & bits).astype(np.int64)
-                live = (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                live = in_bitmap(table, ah)
                 doc, ah, a, count, shift = (x[live] for x in (doc, ah, a, count, shift))
                 if len(often) and len(ah):
                     place = np.minimum(np.searchsorted(often, ah.view(np.int64)), len(often) - 1)
