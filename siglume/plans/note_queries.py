@@ -261,3 +261,40 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM d) SE
 def session_window(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
     return e.select("user_id", F.col("w.start").alias("start"), "n")
+
+
+@query(with_views("sig") + "SELECT CAST(user_id AS VARCHAR) AS signal_id, i, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 6) AS x FROM sig")
+def pcm_roundtrip(spark, sf_dir):
+    """Signals as packed PCM, as WAV bytes, and back."""
+    from siglume.sources import wav
+
+    return rounded(wav.unwav(wav.wav_files(wav.pack(sig_events(spark, sf_dir), "user_id", 48_000))))
+
+
+@query()
+def probe_reports(spark, sf_dir):
+    """Whole-signal reports (JSON) of the users' signals at 8 kHz."""
+    from siglume.operators import probe
+    from siglume.sources import wav
+
+    return probe.probe(wav.pack(sig_events(spark, sf_dir), "user_id", 8_000))
+
+
+@query(with_views("notes") + "SELECT CAST(track AS VARCHAR) AS track, CAST(midi AS INTEGER) AS pitch, count(*) AS n, CAST(sum(dur) AS BIGINT) AS ticks FROM (SELECT track, midi, least(dur, coalesce(lead(onset) OVER (PARTITION BY track ORDER BY onset) - onset, dur)) AS dur FROM (SELECT track, onset, min(midi) AS midi, min(dur) AS dur FROM notes GROUP BY 1, 2)) GROUP BY 1, 2")
+def midi_roundtrip(spark, sf_dir):
+    """Repaired notes written as one MIDI file a track and read again."""
+    from siglume.sources import midi
+
+    n = notes(spark, sf_dir).groupBy("track", "onset").agg(F.min("midi").alias("midi"), F.min("dur").alias("dur"))
+    n = n.withColumn("vel", F.lit(64))
+    fixed = sequences.repair_overlaps(n, "track")
+
+    def kernel(f):
+        import pandas as pd
+
+        rows = sorted(zip(f["onset"].tolist(), f["dur"].tolist(), f["midi"].tolist(), f["vel"].tolist()))
+        raw = midi.write(480, [(0, 120.0)], (4, 4), [{"name": str(f["track"].iloc[0]), "preset": "sine", "notes": rows}])
+        return pd.DataFrame(midi.note_rows("", raw), columns=["path", "track", "preset", "at", "dur", "pitch", "vel"])
+
+    back = fixed.select("track", "onset", F.coalesce("dur", F.lit(0)).alias("dur"), "midi", "vel").groupBy("track").applyInPandas(kernel, midi.NOTES)
+    return back.groupBy("track", "pitch").agg(F.count("*").alias("n"), F.sum("dur").alias("ticks"))
