@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import materialize
+from .common import materialize, small
 
 MIN_CHARS = 16
 
@@ -156,6 +156,8 @@ def find_duplicates(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int
     decided = distinct.select("h1", "h2", "first", "copies")
     decided = decided.join(near, ["h1", "h2"], "left") if near is not None else decided.withColumn("near", F.lit(None).cast("boolean"))
     decided = decided.where("copies > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    # a table of its own: the join below then stands on two plain exchanges, which Spark can split under a hot line
+    decided = small(materialize(decided, "lines-decided"))
     return occurrences.select("h1", "h2", "doc_id", "th", "line").join(decided, ["h1", "h2"]).where(F.col("near") | (_loc() != F.col("first"))).select("doc_id", "th", "line", "near")
 
 
