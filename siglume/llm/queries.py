@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, jaccard_join, line_dedup, pii, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter
+from . import bpe, decontaminate, jaccard_join, line_dedup, oracles, pii, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter
 from .common import table
 
 
@@ -80,4 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
