@@ -20,8 +20,8 @@ from .common import materialize
 DIMS = ("length", "word", "symbols", "lines", "repeats")
 #: Spread below which a part counts as constant: a deviation of this size is never odd by itself.
 FLOORS = (0.5, 0.08, 0.045, 0.10, 0.10)
-#: Squared Mahalanobis distance beyond which a row is rejected.
-CUT = 60.0
+#: Chance, under normality, of a squared Mahalanobis distance beyond which a row is rejected (about 49 in five parts).
+TAIL = 1e-8
 #: Groups of fewer rows share their language's estimate, small languages the overall one.
 LEAST = 100
 SUPPORT = 0.75
@@ -177,7 +177,7 @@ def robust_estimates(rows: DataFrame, keys: list[str], floors=FLOORS, steps: int
     return materialize(_estimates(near, keys, floors).drop("logdet"), "mcd")
 
 
-def rate(docs: DataFrame, cut: float = CUT, least: int = LEAST) -> DataFrame:
+def rate(docs: DataFrame, tail: float = TAIL, least: int = LEAST) -> DataFrame:
     """One row per input row: the statistics, ``base_failed``, ``distance`` (null where the base failed) and ``kept``.
 
     Base: fewer than 50 words, or more than half of the words in three-word windows that occur twice or more.
@@ -202,5 +202,5 @@ def rate(docs: DataFrame, cut: float = CUT, least: int = LEAST) -> DataFrame:
     out = rows.join(fit, ["g_lang", "g_source"], "left").withColumn("distance", F.when(~F.col("base_failed") & F.col("mean").isNotNull(), _distance()))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)).alias("kept"), "distance", "lang", "source",
+        (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= _chi2(1 - tail, len(DIMS)))).alias("kept"), "distance", "lang", "source",
     )
