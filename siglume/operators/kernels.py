@@ -494,3 +494,37 @@ def probe(samples: np.ndarray, rate: int, channels: int, start_ms: float = 0.0)
         "rhythm": rhythm(on_ms, t, total / 1000), "stereo": stereo(chans), "structure": sections,
         "harmony": {"chords": spans, "chord_coverage": sum(s["end_ms"] - s["start_ms"] for s in spans) / total if total > 0 else 0.0},
     }
+
+
+def timeline(x: np.ndarray, rate: int, window_ms: float = 1000.0, floor: float = -60.0) -> list[dict]:
+    """Consecutive windows of one mono signal: levels, onsets, pitch and band shares; the last may be partial."""
+    if not (math.isfinite(window_ms) and window_ms >= 1):
+        raise ValueError("window_ms must be finite and at least 1")
+    n, win = len(x), max(1, int(half_away(window_ms / 1000 * rate)))
+    count = -(-n // win)
+    if not count:
+        return []
+    mag = stft(x, 1024, 256)
+    bucket = lambda at: np.minimum(np.asarray(at) // win, count - 1).astype(int)
+    on = np.zeros(count, dtype=int)
+    np.add.at(on, bucket([t * 256 + 512 for t in onset_frames(flux_of(mag), rate)]) if len(mag) else [], 1)
+    hz, energy, bands = np.arange(513) * rate / 1024, mag**2, np.zeros((count, 3))
+    for k, use in enumerate((hz < 250, (hz >= 250) & (hz <= 4000), hz > 4000)):
+        if len(mag):
+            np.add.at(bands[:, k], bucket(np.arange(len(mag)) * 256 + 512), energy[:, use].sum(axis=1))
+    voiced: dict[int, list[float]] = {}
+    for k, f in enumerate(f0_track(x, rate)):
+        first, last = k * 512 // win, (k * 512 + 2047) // win
+        if f is not None and first == last:  # only hops that lie inside one window
+            voiced.setdefault(first, []).append(f)
+    out = []
+    for k in range(count):
+        w = x[k * win : (k + 1) * win]
+        rms, f0 = db(float(np.sqrt((w * w).mean()))), float(np.median(voiced[k])) if k in voiced else None
+        total = bands[k].sum()
+        low, mid, high = (bands[k] / total if total > 0 else np.zeros(3)).tolist()
+        out.append({
+            "index": k, "start_ms": k * win / rate * 1000, "end_ms": min((k + 1) * win, n) / rate * 1000, "rms_db": rms, "peak_db": db(float(np.abs(w).max())),
+            "silent": rms is None or rms <= floor, "onsets": int(on[k]), "f0_hz": f0, "midi": None if f0 is None else min(max(midi_of(f0), 0), 127), "low": low, "mid": mid, "high": high,
+        })
+    return out

@@ -95,3 +95,67 @@ def transcribe(packed: DataFrame, ppq: int = 480, bpm: float = 120.0, grid: int
         return out
 
     return packed.groupBy("signal_id").applyInPandas(kernel, "signal_id string, start_tick long, ticks long, midi long, vel long")
+
+
+TIMELINE = (
+    "signal_id string, index long, start_ms double, end_ms double, rms_db double, peak_db double, silent boolean, onsets long, f0_hz double, midi long, low double, mid double, high double"
+)
+
+
+def timeline(packed: DataFrame, window_ms: float = 1000.0, floor: float = -60.0) -> DataFrame:
+    """One row for each window of each signal."""
+
+    def kernel(f):
+        import pandas as pd
+
+        from siglume.operators import kernels
+
+        x, rate, channels = _whole(f)
+        out = pd.DataFrame(kernels.timeline(x.reshape(-1, channels).mean(axis=1).astype(float), rate, window_ms, floor))
+        if not len(out):
+            return pd.DataFrame(columns=[c.split()[0] for c in TIMELINE.split(", ")])
+        out.insert(0, "signal_id", f["signal_id"].iloc[0])
+        return out
+
+    return packed.groupBy("signal_id").applyInPandas(kernel, TIMELINE)
+
+
+def beats(packed: DataFrame) -> DataFrame:
+    """``signal_id, beat, t_ms, bar_beat``: the beat grid with its place in the bar of four (0 is the downbeat)."""
+
+    def kernel(f):
+        import numpy as np
+        import pandas as pd
+
+        from siglume.operators import kernels
+
+        x, rate, channels = _whole(f)
+        flux = kernels.flux_of(kernels.stft(x.reshape(-1, channels).mean(axis=1).astype(float), 1024, 256))
+        t = kernels.tempo(flux, kernels.onset_frames(flux, rate), rate)
+        k = np.arange(len(t["beats_ms"]))
+        return pd.DataFrame({"signal_id": f["signal_id"].iloc[0], "beat": k, "t_ms": t["beats_ms"], "bar_beat": (k - (t["downbeat"] or 0)) % 4})
+
+    return packed.groupBy("signal_id").applyInPandas(kernel, "signal_id string, beat long, t_ms double, bar_beat long")
+
+
+def compare_pairs(reports: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a, b, status, result`` for pairs of signal ids: the comparison as JSON, or ``missing_reference`` without ``b``."""
+    ra, rb = reports.select(F.col("signal_id").alias("a"), F.col("report").alias("ra")), reports.select(F.col("signal_id").alias("b"), F.col("report").alias("rb"))
+    both = pairs.join(ra, "a").join(rb, "b", "left")
+
+    def kernel(frames):
+        import pandas as pd
+
+        from siglume.operators.assertions import compare
+
+        for f in frames:
+            rows = []
+            for a, b, x, y in zip(f["a"], f["b"], f["ra"], f["rb"]):
+                if not isinstance(y, str):
+                    rows.append((a, b, "missing_reference", None))
+                    continue
+                got = compare(json.loads(x), json.loads(y), x == y)
+                rows.append((a, b, got["verdict"]["kind"], json.dumps(got)))
+            yield pd.DataFrame(rows, columns=["a", "b", "status", "result"])
+
+    return both.select("a", "b", "ra", "rb").mapInPandas(kernel, "a string, b string, status string, result string")

@@ -95,8 +95,19 @@ def encode_wav(samples, rate: int, channels: int, depth: str = "float") -> bytes
     return head + body + b"\0" * (len(body) & 1)
 
 
-def read_wav(spark: SparkSession, path: str, max_samples: int = MAX_SAMPLES) -> DataFrame:
-    """Packed PCM of every ``.wav`` file under ``path``, one file at a time in a task; other containers raise."""
+def decode(raw: bytes, max_samples: int = MAX_SAMPLES):
+    """By the first bytes: WAV or FLAC; lossy containers raise, since no decoder for them is at hand."""
+    if raw[:4] == b"fLaC":
+        from siglume.sources.flac import decode_flac
+
+        return decode_flac(raw, max_samples)
+    if raw[:4] == b"OggS" or raw[:3] == b"ID3" or (len(raw) > 1 and raw[0] == 0xFF and raw[1] & 0xE0 == 0xE0):
+        raise AudioError("ogg and mp3 aren't supported")
+    return decode_wav(raw, max_samples)
+
+
+def read_audio(spark: SparkSession, path: str, max_samples: int = MAX_SAMPLES) -> DataFrame:
+    """Packed PCM of every WAV or FLAC file under ``path``, one file at a time in a task."""
 
     def kernel(frames):
         import numpy as np
@@ -104,7 +115,7 @@ def read_wav(spark: SparkSession, path: str, max_samples: int = MAX_SAMPLES) ->
 
         for f in frames:
             for name, raw in zip(f["path"], f["content"]):
-                rate, channels, x = decode_wav(bytes(raw), max_samples)
+                rate, channels, x = decode(bytes(raw), max_samples)
                 step = CHUNK_FRAMES * channels
                 parts = [x[k : k + step] for k in range(0, max(len(x), 1), step)]
                 yield pd.DataFrame({
@@ -112,7 +123,7 @@ def read_wav(spark: SparkSession, path: str, max_samples: int = MAX_SAMPLES) ->
                     "chunk_id": np.arange(len(parts)), "start_frame": np.arange(len(parts)) * CHUNK_FRAMES, "samples": parts,
                 })
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").option("recursiveFileLookup", "true").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{wav,WAV,flac,FLAC}").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(kernel, PACKED)
 
 
