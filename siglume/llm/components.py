@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))
         )
-        cur = materialize(small.distinct(), "cc")
+        last, cur = cur, materialize(small.distinct(), "cc")
+        discard(last)
         after = _signature(cur)
         if after == before:
             break
