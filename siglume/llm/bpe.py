@@ -251,6 +251,10 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
             columns |= {k: pa.array(rows[k], pa.string()) for k in ("ids_sha256", "decoded_sha256")}
             columns["round_trip"] = pa.array(rows["round_trip"], pa.bool_())
             yield pa.RecordBatch.from_pydict(columns)
+        # the worker process lives on and serves other stages: it keeps the vocabulary, not the caches
+        coder.cache.clear()
+        coder.pairs.clear()
+        pa.default_memory_pool().release_unused()
 
     fields = [f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", "n_tokens long", *["ids array<int>"] * with_ids]
     return docs.select("doc_id", "text").mapInArrow(kernel, ", ".join([*fields, "ids_sha256 string, decoded_sha256 string, round_trip boolean"]))
