@@ -8,8 +8,9 @@ to each region it may have a partner in, which is how boundary sets are replicat
 distance to the pivot. Regions whose members aren't all connected yet are joined again around a further pivot,
 over those members only whose distances to the first pivot differ by no more than the radius (triangle
 inequality). Before all that, one pivot for each set of connected blocks closes most of them at the price of one
-distance a set; after ``rounds`` rounds the few sets left unconnected are compared with all members of their
-region inside their window. No link between different sets is lost, and no pair inside an already connected
+distance a set. Sets stay in open blocks only while they share enough of them with sets outside their own
+component, and enter the blocks of their rarest keys alone. After ``rounds`` rounds the few sets left unconnected
+are compared with all members of their region inside their window, portion by portion of a large region. No link between different sets is lost, and no pair inside an already connected
 part of a region is ever formed.
 
 Equal sets are one set from the start. Orders come from a bounded sample and change cost only, never results.
@@ -26,6 +27,9 @@ from .components import connected_components
 #: Documents whose shingles give the global order, and shingles that the order lists (8 bytes each, broadcast).
 SAMPLE, LISTED = 20_000, 250_000
 
+#: Shingles that a task of the last comparison holds in memory at once (24 bytes each).
+HELD = 2_000_000
+
 
 def _shingles(column, n: int):
     """Yields ``(row, sorted distinct shingle hashes)``: lower-cased A-Z, words between ASCII white space."""
@@ -178,6 +182,85 @@ def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.withColumns({"link": 100 * F.col("inter") >= percent * union, "d": 1 - F.col("inter") / union})
 
 
+def _wanted(keys: DataFrame, percent: int, by: str = "sid") -> DataFrame:
+    """``sid, n, keys``: the keys ``(c, key)`` of each set that sets of another ``by`` have too, rarest first (``c`` sets
+    have the key). Sets with fewer of them than any partner outside would share have no partner there and go."""
+    blocks = keys.groupBy("key").agg(F.count("*").alias("c"), F.min(by).alias("a"), F.max(by).alias("b"))
+    held = keys.join(blocks.where("a <> b").select("key", "c"), "key")
+    sets = held.groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("keys"))
+    return sets.where(F.size("keys") >= _least(percent))
+
+
+def _least(percent: int):
+    """Keys that a set of ``n`` shingles shares at least with any partner, smaller or larger."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 16)).cast("int")
+
+
+def _blocks(keys: DataFrame, percent: int) -> DataFrame:
+    """``p, sid, n``: each set in the blocks of its rarest keys, all but ``l - 1`` of them where partners share ``l`` at
+    least; any two partners still meet, in the rarest key they share. ``p`` is the block's first set."""
+    sets = keys.groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("keys"))
+    few = sets.select("sid", "n", F.explode(F.slice("keys", F.lit(1), F.greatest(F.lit(0), F.size("keys") - _least(percent) + 1))).alias("at"))
+    few = materialize(few.select("sid", "n", "at.key"), "jaccard-members")
+    first = few.groupBy("key").agg(F.min("sid").alias("p"), F.max("sid").alias("q")).where("p <> q").select("key", "p")
+    return few.join(first, "key").select("p", "sid", "n").distinct()
+
+
+def _compare(loose: DataFrame, tagged: DataFrame, sets: DataFrame, percent: int, radius: float) -> DataFrame:
+    """Links ``p, x`` between the loose members of each region and its members of other components, inside the window.
+
+    Members are dealt in portions of ``HELD`` shingles, each with an index of its shingles in memory; loose members
+    visit each portion of their region, one at a time, and no pair is formed but the links found."""
+    load = tagged.join(loose.select("p").distinct(), "p", "left_semi").groupBy("p").agg(F.ceil(F.sum("n") / HELD).cast("int").alias("salts"))
+    load = materialize(load, "jaccard-load")
+    columns = ("p", "salt", "role", "x", "n", "d", "cx")
+    held = tagged.join(load, "p").withColumns({"salt": F.pmod(F.xxhash64("x"), F.col("salts")).cast("int"), "role": F.lit(0)})
+    asked = loose.join(load, "p").withColumns({"salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), "role": F.lit(1)})
+    visits = materialize(held.select(*columns).unionByName(asked.select(*columns)), "jaccard-visits")
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = visits.join(sets.select(F.col("sid").alias("x"), "set"), "x").select(*columns, "set")
+    dealt = dealt.repartition(parts, "p", "salt").sortWithinPartitions("p", "salt", "role")
+
+    def kernel(batches):
+        import pyarrow as pa
+
+        place, index, waiting = None, None, []
+        for batch in batches:
+            out_p, out_x = [], []
+            flat, cuts = batch.column("set").values.to_numpy(), batch.column("set").offsets.to_numpy()
+            p, salt, role, x, n, d, cx = (batch.column(c).to_numpy() for c in columns)
+            for i in range(batch.num_rows):
+                s = flat[cuts[i] : cuts[i + 1]]
+                if (p[i], salt[i]) != place:
+                    place, index, waiting = (p[i], salt[i]), None, []
+                if role[i] == 0:
+                    waiting.append((s.copy(), x[i], n[i], d[i], cx[i]))
+                    continue
+                if not waiting:
+                    continue
+                if index is None:
+                    owner = np.repeat(np.arange(len(waiting)), [len(w[0]) for w in waiting])
+                    every = np.concatenate([w[0] for w in waiting])
+                    order = np.argsort(every)
+                    index = every[order], owner[order], *(np.array([w[k] for w in waiting]) for k in range(1, 5))
+                    waiting = [(w[0][:0], *w[1:]) for w in waiting]
+                every, owner, ids, sizes, ds, home = index
+                fit = (home != cx[i]) & (np.abs(ds - d[i]) <= radius) & (100 * sizes >= percent * n[i]) & (100 * n[i] >= percent * sizes)
+                if not fit.any():
+                    continue
+                lo, hi = np.searchsorted(every, s), np.searchsorted(every, s, "right")
+                width = hi - lo
+                at = np.arange(width.sum()) + np.repeat(lo - (np.cumsum(width) - width), width)
+                inter = np.bincount(owner[at], minlength=len(ids))
+                hit = np.flatnonzero(fit & (100 * inter >= percent * (sizes + n[i] - inter)))
+                hit = hit[np.unique(home[hit], return_index=True)[1]]  # one link for each component
+                out_p += [x[i]] * len(hit)
+                out_x += ids[hit].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.int64()), pa.array(out_x, pa.int64())], ["p", "x"])
+
+    return dealt.mapInArrow(kernel, "p long, x long")
+
+
 def _labels(members: DataFrame, links: DataFrame) -> DataFrame:
     """``members(p, x, ..)`` with ``cx`` and ``cp``, the components of both ends under ``links`` so far."""
     home = connected_components(links.select(F.col("p").alias("u"), F.col("x").alias("v")))
@@ -233,9 +316,8 @@ def link_sets(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 2) -
             yield pa.RecordBatch.from_pydict({"sid": batch.column("sid").take(row), "n": batch.column("n").take(row), "key": pa.array(flat[keep])})
 
     keys = prefixes.mapInArrow(sieve, "sid long, n long, key long").join(small(shared), "key").distinct()
-    keys = materialize(keys, "jaccard-keys")
-    blocks = keys.groupBy("key").agg(F.min("sid").alias("p"))
-    members = materialize(keys.join(blocks, "key"), "jaccard-members")
+    keys = materialize(_wanted(keys, percent), "jaccard-keys")
+    members = _blocks(keys.select("sid", "n", F.explode("keys").alias("at")).select("sid", "n", "at.c", "at.key"), percent)
     apart = members.where("sid <> p").select("p", F.col("sid").alias("x"))
     # coarse regions first: all that shared shingles connect, around one pivot each; this closes most blocks
     coarse = materialize(connected_components(apart.distinct().select(F.col("p").alias("u"), F.col("x").alias("v"))), "jaccard-coarse")
@@ -243,9 +325,15 @@ def link_sets(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 2) -
     stars = coarse.where("node <> root").select(F.col("root").alias("p"), F.col("node").alias("x"))
     links = materialize(_distances(stars, whole, percent).where("link").select("p", "x"), "jaccard-links")
     home = connected_components(links.select(F.col("p").alias("u"), F.col("x").alias("v"))).select(F.col("node").alias("sid"), "root")
-    homed = members.join(materialize(home, "jaccard-home"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    still = homed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    members = members.where("sid <> p").join(still, "key", "left_semi").select("p", F.col("sid").alias("x"), "n").distinct()
+    home = materialize(home, "jaccard-home")
+    # what is left: blocks whose sets aren't all connected, and in them sets that share enough such blocks with others
+    open_keys = keys.select("sid", "n", F.explode("keys.key").alias("key"))
+    homed = open_keys.join(home, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    left = _wanted(homed, percent, by="root")
+    left = left.select("sid", "n", F.explode("keys").alias("at")).select("sid", "n", "at.key").join(home, "sid", "left")
+    left = materialize(_wanted(left.withColumn("root", F.coalesce("root", "sid")), percent, by="root"), "jaccard-open")
+    members = _blocks(left.select("sid", "n", F.explode("keys").alias("at")).select("sid", "n", "at.c", "at.key"), percent)
+    members = members.where("sid <> p").select("p", F.col("sid").alias("x"), "n").distinct()
     first = materialize(_distances(members, whole, percent), "jaccard-distances")
     links = links.unionByName(first.where("link").select("p", "x"))
     radius = (100 - percent) / 100 + 1e-9
@@ -256,11 +344,10 @@ def link_sets(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 2) -
         loose = tagged.where("cx <> cp")
         if done is not None:
             loose = loose.join(done.withColumnRenamed("y", "x"), ["p", "x"], "left_anti")
-        if turn < rounds:
-            chosen = loose.groupBy("p").agg(F.min("x").alias("y"))
-        else:
-            chosen = loose.select("p", F.col("x").alias("y"))
-        chosen = materialize(chosen, "jaccard-chosen")
+        if turn == rounds:
+            links = links.unionByName(_compare(loose, tagged, whole, percent, radius))
+            break
+        chosen = materialize(loose.groupBy("p").agg(F.min("x").alias("y")), "jaccard-chosen")
         if chosen.isEmpty():
             break
         mine = tagged.select("p", F.col("x").alias("y"), F.col("d").alias("dy"), F.col("n").alias("ny"), F.col("cx").alias("cy"))
