@@ -172,6 +172,8 @@ def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if role[i] == 0:
                     pivot, of = p[i], s
                     continue
+                if pivot != p[i]:
+                    raise ValueError(f"the set of pivot {p[i]} is missing")
                 at = np.minimum(np.searchsorted(of, s), len(of) - 1)
                 for k, v in zip(out, (pivot, x[i], int((of[at] == s).sum()), len(of), len(s))):
                     k.append(v)
@@ -325,13 +327,14 @@ def link_sets(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 2) -
     stars = coarse.where("node <> root").select(F.col("root").alias("p"), F.col("node").alias("x"))
     links = materialize(_distances(stars, whole, percent).where("link").select("p", "x"), "jaccard-links")
     home = connected_components(links.select(F.col("p").alias("u"), F.col("x").alias("v"))).select(F.col("node").alias("sid"), "root")
+    home = coarse.select(F.col("node").alias("sid")).join(home, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"))
     home = materialize(home, "jaccard-home")
-    # what is left: blocks whose sets aren't all connected, and in them sets that share enough such blocks with others
+    # what is left: blocks whose sets aren't all connected, and in them sets that share enough such blocks with others;
+    # a set alone in its first blocks has no partner anywhere, so only fetched sets go on (other counts could make it a pivot)
     open_keys = keys.select("sid", "n", F.explode("keys.key").alias("key"))
-    homed = open_keys.join(home, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    left = _wanted(homed, percent, by="root")
-    left = left.select("sid", "n", F.explode("keys").alias("at")).select("sid", "n", "at.key").join(home, "sid", "left")
-    left = materialize(_wanted(left.withColumn("root", F.coalesce("root", "sid")), percent, by="root"), "jaccard-open")
+    left = _wanted(open_keys.join(home, "sid"), percent, by="root")
+    left = left.select("sid", "n", F.explode("keys").alias("at")).select("sid", "n", "at.key").join(home, "sid")
+    left = materialize(_wanted(left, percent, by="root"), "jaccard-open")
     members = _blocks(left.select("sid", "n", F.explode("keys").alias("at")).select("sid", "n", "at.c", "at.key"), percent)
     members = members.where("sid <> p").select("p", F.col("sid").alias("x"), "n").distinct()
     first = materialize(_distances(members, whole, percent), "jaccard-distances")
