@@ -133,6 +133,21 @@ def entities(text: str):
         yield kind, start, end, (m.group("title") if kind == "name" else None)
 
 
+def _names_kernel(batches):
+    """``th, name, gender, script`` of the titled names of rows ``th, text``, once a batch."""
+    import pyarrow as pa
+
+    for batch in batches:
+        found = set()
+        for th, value in zip(batch.column("th").to_pylist(), batch.column("text")):
+            text = value.as_py()
+            for kind, a, b, title in entities(text):
+                if kind == "name":
+                    found.add((th, text[a:b], "f" if title in FEMALE else "m", script_of(text[a:b])))
+        rows = sorted(found)
+        yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("th", pa.int64()), ("name", pa.string()), ("gender", pa.string()), ("script", pa.string())))})
+
+
 def names_table(docs: DataFrame, key: bytes) -> DataFrame:
     """``name, gender, surrogate``: every distinct titled name of the corpus with a surrogate of its own.
 
@@ -140,21 +155,8 @@ def names_table(docs: DataFrame, key: bytes) -> DataFrame:
     second round on, the round as a suffix, so no two names share one. Ranks come from hash ranges with
     prefix counts, never from one sorted task.
     """
-
-    def kernel(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            found = set()
-            for value in batch.column("text"):
-                text = value.as_py()
-                for kind, a, b, title in entities(text):
-                    if kind == "name":
-                        found.add((text[a:b], "f" if title in FEMALE else "m", script_of(text[a:b])))
-            rows = sorted(found)
-            yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], pa.string()) for i, k in enumerate(("name", "gender", "script"))})
-
-    names = materialize(docs.select("text").mapInArrow(kernel, "name string, gender string, script string").distinct(), "pii-names")
+    found = docs.select(F.lit(0).cast("long").alias("th"), "text").mapInArrow(_names_kernel, "th long, name string, gender string, script string")
+    names = materialize(found.select("name", "gender", "script").distinct(), "pii-names")
     salt = key.hex()
     h = F.sha2(F.concat(F.lit(salt), "name", "gender"), 256)
     ranged = names.withColumn("h", h).withColumn("lot", F.substring("h", 1, 3))  # 4,096 lots
@@ -174,32 +176,32 @@ def replace(docs: DataFrame, key: str = "siglume-pii-key-1", max_names: int = 20
     (kind, start, end in the input text, surrogate).
 
     Null text stays null with no entity; empty text stays empty. Repeated rows keep their rows; extra columns
-    are ignored. The same entity gets the same surrogate everywhere, two entities never share one (checked:
-    names above ``max_names`` distinct ones raise instead of growing the broadcast).
+    are ignored. The same entity gets the same surrogate everywhere, two entities never share one (checked).
+    Up to ``max_names`` distinct names are broadcast; more are joined to the texts they occur in by shuffle.
     """
     secret = hashlib.sha256(key.encode()).digest()
     spark = docs.sparkSession
-    titled = docs.where(F.col("text").rlike(r"\b(Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señora?|Sra?|господин|госпожа)\.? "))
+    has_title = F.col("text").rlike(r"\b(Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señora?|Sra?|господин|госпожа)\.? ")
+    titled = docs.where(has_title)
     names = names_table(titled, secret)
-    n = names.count()
-    if n > max_names:
-        raise ValueError(f"{n} distinct names are more than max_names = {max_names}")
+    many = names.count() > max_names
     clash = names.groupBy("surrogate").count().where("count > 1").limit(1).count()
     if clash:
         raise ValueError("two names share a surrogate")
-    known = spark.sparkContext.broadcast({(r["name"], r["gender"]): r["surrogate"] for r in names.toLocalIterator()})
+    known = spark.sparkContext.broadcast({} if many else {(r["name"], r["gender"]): r["surrogate"] for r in names.toLocalIterator()})
 
     def kernel(batches):
         import pyarrow as pa
 
         for batch in batches:
             texts, found = [], []
-            for value in batch.column("text"):
+            for value, own in zip(batch.column("text"), batch.column("names")):
                 text = value.as_py()
+                held = {(r["name"], r["gender"]): r["surrogate"] for r in own.as_py()} if many and own.is_valid else known.value
                 spots, parts, at = [], [], 0
                 for kind, a, b, title in entities(text):
                     entity = text[a:b]
-                    new = known.value[entity, "f" if title in FEMALE else "m"] if kind == "name" else surrogate(kind, entity, secret)
+                    new = held[entity, "f" if title in FEMALE else "m"] if kind == "name" else surrogate(kind, entity, secret)
                     parts += (text[at:a], new)
                     spots.append({"kind": kind, "start": a, "end": b, "surrogate": new})
                     at = b
@@ -209,5 +211,17 @@ def replace(docs: DataFrame, key: str = "siglume-pii-key-1", max_names: int = 20
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string()), "entities": pa.array(found, pa.list_(spot))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(kernel, f"doc_id {kind}, text string, entities array<struct<kind:string,start:int,end:int,surrogate:string>>")
+    rows = docs.select("doc_id", "text")
+    if many:
+        # by text hash: two texts of one hash share a list that holds the names of both
+        is_titled = F.coalesce(has_title, F.lit(False))
+        mine = titled.select(F.xxhash64("text").alias("th"), "text").mapInArrow(_names_kernel, "th long, name string, gender string, script string")
+        mine = mine.select("th", "name", "gender").distinct().join(names, ["name", "gender"])
+        mine = mine.groupBy("th").agg(F.collect_list(F.struct("name", "gender", "surrogate")).alias("names"))
+        rows = rows.withColumn("th", F.xxhash64("text"))
+        own = rows.where(is_titled).join(mine, "th", "left").select("doc_id", "text", "names")
+        rows = own.unionByName(rows.where(~is_titled).select("doc_id", "text"), allowMissingColumns=True)
+    else:
+        rows = rows.withColumn("names", F.lit(None))
+    out = rows.mapInArrow(kernel, f"doc_id {kind}, text string, entities array<struct<kind:string,start:int,end:int,surrogate:string>>")
     return out.withColumn("n_entities", F.size("entities").cast("long"))

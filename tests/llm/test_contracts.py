@@ -325,3 +325,11 @@ def test_classifier(spark):
     right = sum(kept[i] == (i % 6 > 1) for i in range(600))
     assert right > 580
     assert quality_classifier.classify(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_pii_many_names(spark):
+    """More names than are broadcast: the same surrogates by shuffle."""
+    rows = [(1, "Mrs Ada Byron and Mr Ivan Petrov."), (2, "Mrs Ada Byron, Frau Анна Иванова, Mr. Ada Byron; jo.1@a.example.com"), (2, "Mr Ivan Petrov."), (2, "Mr Ivan Petrov."), (None, "Mr  nobody"), (3, None), (4, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    few, many = (sorted(map(repr, pii.replace(docs, max_names=n).collect())) for n in (200_000, 1))
+    assert few == many and len(few) == len(rows)
