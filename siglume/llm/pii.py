@@ -31,8 +31,8 @@ DETECT = re.compile(
     r"|(?<![0-9A-Za-z])(?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])"
     r"|(?P<name>\b(?P<title>Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Sr|Sra|господин|госпожа)\.? (?P<person>[^\W\d_][^\W\d_]+(?: [^\W\d_][^\W\d_]+)?))"
 )
-#: A text without any of these can hold no entity; most texts stop here.
-HINT = re.compile(r"@|[0-9]{3}|[0-9]\.[0-9]|\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señora?|Sra?|госпо)|AKIA|gh[pousr]_|sk-")
+#: A text without any of these can hold no entity (each alternative of DETECT contains one); most texts stop here.
+HINT = re.compile(r"@|[0-9]{3}|[0-9]\.[0-9]|\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señora?|Sra?|госпо)|AKIA|gh[pousr]_|sk-|\+[0-9]|[0-9a-f]{32}|[0-9A-F]{32}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11}")
 FEMALE = {"Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Sra", "госпожа"}
 #: Fixed pools of given names by (script, gender).
 POOLS = {

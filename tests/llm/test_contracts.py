@@ -333,3 +333,13 @@ def test_pii_many_names(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     few, many = (sorted(map(repr, pii.replace(docs, max_names=n).collect())) for n in (200_000, 1))
     assert few == many and len(few) == len(rows)
+
+
+@pytest.mark.parametrize("kind, text", [
+    ("email", "a@b.co"), ("token", "abcdef12" * 4), ("token", "ab" * 16), ("token", "a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6"), ("token", "A1B2C3D4" * 4), ("key", "AKIA" + "AB" * 8), ("key", "sk-" + "ab" * 12), *[("key", f"gh{c}_" + "aB" * 18) for c in "pousr"],
+    ("ip", "1.2.3.4"), ("iban", "DK50AB40CD44EF11G"), ("ssn", "123-45-6789"), ("card", "4000 0000 0000 0000"), ("phone", "+45 20 12 34 56"), ("phone", "+33 12-34-56-78"), ("phone", "+1(20)12 34"), ("phone", "(407) 555-7710"), ("phone", "407-555-7710"),
+    *[("name", f"{t} Ada") for t in "Mr Mrs Ms Miss Herr Frau Monsieur Madame Señor Señora Sr Sra господин госпожа".split()],
+])
+def test_hint_covers_every_kind(kind, text):
+    assert pii.DETECT.search(text) and pii.HINT.search(text)
+    assert [e[0] for e in pii.entities(f"see {text}, please")] == [kind]
