@@ -120,12 +120,17 @@ def surrogate(kind: str, entity: str, key: bytes) -> str:
 
 
 def entities(text: str):
-    """``(kind, start, end)`` of each entity; cards must pass the length rule, tokens the mixed-character rule."""
+    """``(kind, start, end, title)`` of each entity; cards must pass the length rule, tokens the mixed-character rule. A second
+    word belongs to a name unless it starts with a lower-case letter (letters without case can't tell)."""
     if not text or not HINT.search(text):
         return
-    for m in DETECT.finditer(text):
+    at = 0
+    while m := DETECT.search(text, at):
+        at = m.end()
         kind = m.lastgroup if m.lastgroup not in ("title", "person") else "name"
         start, end = m.span("person") if kind == "name" else m.span()
+        if kind == "name" and (gap := text.find(" ", start, end)) >= 0 and text[gap + 1].islower():
+            at = end = gap  # the second word is looked at again: it may start another entity
         if kind == "card" and not 13 <= sum(c.isdigit() for c in text[start:end]) <= 19:
             continue
         if kind == "token" and text[start:end].isdigit():

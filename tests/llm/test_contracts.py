@@ -343,3 +343,13 @@ def test_pii_many_names(spark):
 def test_hint_covers_every_kind(kind, text):
     assert pii.DETECT.search(text) and pii.HINT.search(text)
     assert [e[0] for e in pii.entities(f"see {text}, please")] == [kind]
+
+
+def test_pii_name_before_verbs(spark):
+    def found(text):
+        return [(k, text[a:b]) for k, a, b, _ in pii.entities(text)]
+
+    assert found("Mr Smith said so. Mr Smith went, Mr Smith, Mr Smith Jones ran") == [("name", "Smith")] * 3 + [("name", "Smith Jones")]
+    assert found("Mr Smith jo.1@a.example.com, господин Петров сказал, Mrs אדה ביירון") == [("name", "Smith"), ("email", "jo.1@a.example.com"), ("name", "Петров"), ("name", "אדה ביירון")]
+    got = pii.replace(spark.createDataFrame([(1, "Mr Smith said so. Mr Smith went, Mr Smith")], "doc_id long, text string")).first()
+    assert len({e.surrogate for e in got.entities}) == 1 and re.fullmatch(r"Mr (\w+) said so\. Mr \1 went, Mr \1", got.text)
