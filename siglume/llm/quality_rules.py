@@ -196,7 +196,13 @@ def rate(docs: DataFrame, tail: float = TAIL, least: int = LEAST) -> DataFrame:
         F.col("of_lang") >= least, F.struct(F.col("g_lang").alias("a"), F.lit("\0\0").alias("b"))
     ).otherwise(F.struct(F.lit("\0\0").alias("a"), F.lit("\0\0").alias("b")))
     sizes = materialize(sizes.withColumn("k", level).select("g_lang", "g_source", F.col("k.a").alias("a"), F.col("k.b").alias("b")), "rules-groups")
-    good = good.join(sizes, ["g_lang", "g_source"]).select("a", "b", "x")
+    # such a level is estimated from all rows of the language or of the table, not from its small groups alone
+    needed = sizes.select("a", "b").distinct()
+    levels = sizes.select("g_lang", "g_source").withColumn("at", F.explode(F.array(
+        F.struct(F.col("g_lang").alias("a"), F.col("g_source").alias("b")), F.struct(F.col("g_lang").alias("a"), F.lit("\0\0").alias("b")), F.struct(F.lit("\0\0").alias("a"), F.lit("\0\0").alias("b")),
+    ))).select("g_lang", "g_source", "at.a", "at.b")
+    levels = materialize(levels.join(needed, ["a", "b"], "left_semi"), "rules-levels")
+    good = good.join(levels, ["g_lang", "g_source"]).select("a", "b", "x")
     fit = robust_estimates(good, ["a", "b"])
     fit = sizes.join(fit, ["a", "b"]).select("g_lang", "g_source", "mean", "prec")
     out = rows.join(fit, ["g_lang", "g_source"], "left").withColumn("distance", F.when(~F.col("base_failed") & F.col("mean").isNotNull(), _distance()))

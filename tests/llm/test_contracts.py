@@ -353,3 +353,14 @@ def test_pii_name_before_verbs(spark):
     assert found("Mr Smith jo.1@a.example.com, господин Петров сказал, Mrs אדה ביירון") == [("name", "Smith"), ("email", "jo.1@a.example.com"), ("name", "Петров"), ("name", "אדה ביירון")]
     got = pii.replace(spark.createDataFrame([(1, "Mr Smith said so. Mr Smith went, Mr Smith")], "doc_id long, text string")).first()
     assert len({e.surrogate for e in got.entities}) == 1 and re.fullmatch(r"Mr (\w+) said so\. Mr \1 went, Mr \1", got.text)
+
+
+def test_small_groups(spark):
+    """Rows of small groups and languages are held against their language and the table, not against themselves."""
+    r = random.Random(1)
+    fine = lambda: " ".join(r.choice(VOCAB) for _ in range(200))
+    junk = lambda: " ".join(r.choice(VOCAB) + "###" for _ in range(200))
+    rows = [(i, fine(), "en", "big") for i in range(300)]
+    rows += [(1000, junk(), "en", "one"), (1001, junk(), "en", "two"), (1002, fine(), "en", "two"), (1003, junk(), "da", "x"), (1004, fine(), None, None)]
+    got = {x.doc_id: x.kept for x in quality_rules.rate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == 305 and [got[i] for i in range(1000, 1005)] == [False, False, True, False, True] and all(got[i] for i in range(300))
