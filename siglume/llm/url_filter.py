@@ -46,6 +46,26 @@ def normalised(url: Column) -> Column:
     return F.when(tail.isNotNull(), F.concat(host_of(F.trim(url)), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
+def _without_dots(path: Column) -> Column:
+    """``path`` with its ``.`` and ``..`` segments resolved; ``..`` never leaves the root."""
+    step = lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(s)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """``target`` as an absolute url, seen from the page ``base`` (RFC 3986; dot segments of relative paths only)."""
+    target, base = F.trim(target), F.trim(base)
+    start = F.concat(F.lit("http://"), F.regexp_extract(_tail(base), r"^[^/?#]*", 0))
+    own = F.regexp_extract(target, r"^[^?#]*", 0)
+    rest = F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(base), r"^/(.*/)", 1))
+    relative = (
+        F.when(target.startswith("#"), base).when(own == "", F.concat(start, path_of(base), rest))
+        .when(own.startswith("/"), F.concat(start, _without_dots(own), rest)).otherwise(F.concat(start, _without_dots(F.concat(folder, own)), rest))
+    )
+    return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), target).when(target.startswith("//"), F.concat(F.lit("http:"), target)).otherwise(relative)
+
+
 def _split(rule: str) -> tuple[str, str]:
     at = rule.index("/")
     return rule[:at], rule[at:]
@@ -76,14 +96,17 @@ def with_rule(df: DataFrame, rules=RULES, host: str = "host", path: str = "path"
 
 
 def declared_edges(pages: DataFrame) -> DataFrame:
-    """``(u, v)``: normalised URL and the absolute target of its canonical link or of its meta refresh."""
+    """``(u, v)``: normalised URL and the target of its canonical link or of its meta refresh, relative ones seen from the
+    page's url or its ``<base>``."""
+    base = F.regexp_extract("html", r"""(?i)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
     link = F.regexp_extract("html", r"""(?i)<link\b[^>]*?\brel\s*=\s*["']?canonical["']?[^>]*>""", 0)
     refresh = F.regexp_extract("html", r"""(?i)<meta\b[^>]*?http-equiv\s*=\s*["']?refresh["']?[^>]*>""", 0)
     canonical = F.regexp_extract(link, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
     redirect = F.regexp_extract(refresh, r"""(?i)url\s*=\s*["']?([^"'\s>]+)""", 1)
     return (
-        pages.select(normalised(F.col("url")).alias("u"), F.explode(F.array(canonical, redirect)).alias("to"))
-        .where("to <> ''").select("u", normalised(F.col("to")).alias("v")).where("u is not null and v is not null and u <> v")
+        pages.select("url", base.alias("base"), F.explode(F.array(canonical, redirect)).alias("to")).where("to <> ''")
+        .withColumn("base", F.when(F.col("base") != "", resolved(F.col("base"), F.col("url"))).otherwise(F.col("url")))
+        .select(normalised(F.col("url")).alias("u"), normalised(resolved(F.col("to"), F.col("base"))).alias("v")).where("u is not null and v is not null and u <> v")
     )
 
 

@@ -364,3 +364,18 @@ def test_small_groups(spark):
     rows += [(1000, junk(), "en", "one"), (1001, junk(), "en", "two"), (1002, fine(), "en", "two"), (1003, junk(), "da", "x"), (1004, fine(), None, None)]
     got = {x.doc_id: x.kept for x in quality_rules.rate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert len(got) == 305 and [got[i] for i in range(1000, 1005)] == [False, False, True, False, True] and all(got[i] for i in range(300))
+
+
+def test_relative_targets(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://b.example.com/x/a/old.html?q=1", "HTTP://b.example.com", "https://b.example.com/x/?u=/y/z#f", "http://b.example.com/one"]
+    targets = ["/de/page", "page.html", "//Other.org/fr/p", "../de/page?k=v", "./de/./p/../q", "../../../../de/p", "?k=2", "../", "..", "/login?next=http://a.net/x", "http://a.net/x?y=../z", "p?next=//a.net/../x"]
+    pairs = spark.createDataFrame([(b, t) for b in bases for t in targets], "b string, t string")
+    joined = spark.createDataFrame([(b, t, urljoin(b, t)) for b in bases for t in targets], "b string, t string, j string")
+    cols = [url_filter.normalised(url_filter.resolved(F.col("t"), F.col("b"))).alias("got"), url_filter.normalised(F.col("j")).alias("want")]
+    assert pairs.count() == 48 and [r for r in joined.select("b", "t", *cols).collect() if r.got != r.want] == []
+    canonical, refresh = '<link rel="canonical" href="%s">', '<meta http-equiv="refresh" content="0; url=%s">'
+    rows = [(1, "http://b.example.com/x/a", canonical % "../de/page"), (2, "http://b.example.com/x/b", refresh % "/de/page"), (3, "http://alias.info/p", canonical % "//a.net/q"), (4, "http://alias.info/r", refresh % "p"), (5, "http://other.info/r", '<base href="//a.net/en/">' + canonical % "r"), (6, "http://other.info/s", canonical % "#top"), (7, None, canonical % "/x")]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow"}
