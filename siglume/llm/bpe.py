@@ -1,12 +1,16 @@
 """Byte-level BPE as a bounded-lookahead streaming transducer.
 
-Encoding reads the bytes of a text left to right and keeps, for each position inside a short window, the
+Encoding reads the bytes of a piece left to right and keeps, for each position inside a short window, the
 last token of the encoding of the prefix that ends there. That table is exact: the tokens before the last
 token of a prefix's encoding are themselves the encoding of the shorter prefix, and a token may follow
 another exactly when merging their joined bytes gives back the two. A path of last tokens is stable, and its
 tokens are emitted, once all positions within the lookahead lead back through it. The lookahead comes from
 the merge list (the longest token, since no later path can begin further back than that), so memory does
-not grow with the text. Decoding maps each id to its bytes and feeds an incremental UTF-8 state machine.
+not grow with the text. Every piece goes through this transducer; what it gives for short pieces is cached.
+
+Texts are read in windows that end where the splitting pattern must split, ids and decoded text leave window by
+window into digests, and decoding maps each id to its bytes and feeds an incremental UTF-8 state machine. Beyond
+the text itself only a window is in memory (and the ids of one text where the caller wants them returned).
 """
 
 from __future__ import annotations
@@ -15,27 +19,57 @@ import codecs
 import hashlib
 import json
 import re
+import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
-from functools import cached_property
+from functools import cache, cached_property
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import per_worker
 
-#: The splitting pattern of the byte-level pre-tokeniser (a fixed value of the vocabulary file's format).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The splitting pattern of the byte-level pre-tokeniser (a fixed value of the vocabulary file's format), with classes to fill in.
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{W}{L}{N}]+|[{W}]+(?![^{W}])|[{W}]+"
+#: White space of the pattern (Unicode's White_Space, fixed values).
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters and numbers that Unicode 16 added to the tables of this Python (15.1): fixed values.
+MORE_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+MORE_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
 #: Entries of a worker's piece cache (about 150 bytes each) and of its pair cache.
-CACHE = 400_000
+CACHE = 300_000
 BITS = 24
 MASK = (1 << BITS) - 1
-#: Longer pieces stream through the transducer and are not cached.
-LONG = 64
+#: What the transducer gives for longer pieces isn't cached.
+CACHED = 64
+#: Characters of a window before it looks for a seam, and of a chunk fed to the transducer.
+WINDOW = 1 << 14
 #: In texts of these characters alone the plain ``re`` classes agree with the pattern's Unicode classes.
 PLAIN = r"[^\t-\r -~\xC0-\xD6\xD8-\xF6\xF8-\u024F]"
 PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 
 
+@cache
+def _class(kind: str) -> str:
+    """A regular expression class body of all code points of a major category, by this Python's tables and the additions."""
+    spans = [list(x) for x in (MORE_LETTERS if kind == "L" else MORE_NUMBERS)]
+    start = None
+    for cp in range(0x110001):
+        hit = cp < 0x110000 and unicodedata.category(chr(cp))[0] == kind
+        if hit and start is None:
+            start = cp
+        elif not hit and start is not None:
+            spans.append([start, cp - 1])
+            start = None
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in sorted(spans))
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in vocabulary files."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -47,8 +81,6 @@ class Transducer:
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, spec: dict) -> None:
-        import regex
-
         model, alphabet = spec["model"], byte_alphabet()
         raw = lambda s: bytes(alphabet[c] for c in s)
         self.ids = {raw(t): i for t, i in model["vocab"].items() if all(c in alphabet for c in t)}
@@ -56,6 +88,7 @@ class Transducer:
         for s in self.special:
             self.ids.pop(s.encode(), None)
         self.bytes_of = {i: t for t, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
+        self.size_of = {i: len(t) for i, t in self.bytes_of.items()}
         self.merges: dict[tuple[int, int], int] = {}  # rank and merged id in one number
         self.none = 1 << 62
         self.byte_ids = [self.ids.get(bytes([b]), -1) for b in range(256)]
@@ -67,11 +100,12 @@ class Transducer:
                 self.merges.setdefault(key, rank << BITS | self.ids[a + b])
                 self.parts.setdefault(self.ids[a + b], (rank, *key))
         self.lookahead = max(map(len, self.ids), default=1)
-        self.pattern = regex.compile(PATTERN)
         self.plain, self.odd = re.compile(PLAIN_PATTERN), re.compile(PLAIN)
-        self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.seam = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
+        self.splitter = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.pairs: dict[int, bool] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def _merge(self, piece: bytes) -> list[int]:
         """The merge list applied to a short piece, lowest rank first, leftmost among equals."""
@@ -91,17 +125,29 @@ class Transducer:
                 ranks[k] = get((t[k], t[k + 1]), none)
         return t
 
+    @cached_property
+    def pattern(self) -> re.Pattern:
+        return re.compile(PATTERN.format(L=_class("L"), N=_class("N"), W=WHITE))
+
     @cached_property
     def makes(self) -> dict[bytes, int]:
         """Tokens that the merges can make at all, by their own bytes."""
         return {t: i for t, i in self.ids.items() if len(t) == 1 or self._merge(t) == [i]}
 
+    @cached_property
+    def sizes(self) -> dict[bytes, tuple[int, ...]]:
+        """By the last two bytes: the lengths of the tokens that end in them, longest first, and 1."""
+        found: dict[bytes, set] = {}
+        for t in self.makes:
+            found.setdefault(t[-2:], set()).add(len(t))
+        return {k: (*sorted(x - {1}, reverse=True), 1) for k, x in found.items()}
+
     def follows(self, a: int, b: int) -> bool:
         """Whether the merges keep ``a`` and ``b`` apart when they stand side by side."""
-        key = (a, b)
+        key = a << BITS | b
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 4 * CACHE:
+            if len(self.pairs) >= CACHE:
                 self.pairs.clear()
             known = self.pairs[key] = self._apart(a, b)
         return known
@@ -125,85 +171,126 @@ class Transducer:
             else:
                 limit, b = (right[0], 2), right[1]
 
+    def _last(self, held: bytes, last: list, n: int) -> int:
+        """Last token of the prefix ``held[:n]``, -2 if it has none; ``last`` keeps what is known, of shorter prefixes too."""
+        get, apart = self.makes.get, self.pairs.get
+        for size in self.sizes.get(held[max(n - 2, 0) : n], (1,)):
+            at = n - size
+            if at < 0 or (t := get(held[at:n])) is None:
+                continue
+            before = last[at]
+            if before is None:
+                before = self._last(held, last, at)
+            if before == -1 or before >= 0 and ((ok := apart(before << BITS | t)) or ok is None and self.follows(before, t)):
+                last[n] = t
+                return t
+        last[n] = -2
+        return -2
+
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
-        """Token ids of the bytes in ``chunks``, each emitted as soon as no later byte can change it."""
+        """Token ids of the bytes in ``chunks``, each emitted as soon as no later byte can change it.
+
+        ``last[k]`` is looked up when a path needs it: at the end, or when the window is full and a cut is due."""
         reach = self.lookahead
         held = b""  # bytes after the last emitted token
-        last: list[int] = []  # last[i]: last token of the prefix held[: i + 1]
-        previous = -1  # the token emitted last
+        last: list = [-1]  # of the prefix held[:k]; at 0 the token emitted last, -1 at the start
         for chunk in chunks:
-            for k in range(len(chunk)):
-                held += chunk[k : k + 1]
-                n = len(held)
-                found = -1
-                for size in range(min(n, reach), 0, -1):
-                    t = self.makes.get(held[n - size :])
-                    if t is None:
-                        continue
-                    before = last[n - size - 1] if size < n else previous
-                    if before == -1 and size == n or before >= 0 and self.follows(before, t):
-                        found = t
-                        break
-                last.append(found)
-                if n >= 2 * reach + 2:
-                    # the paths of all prefixes that a later token may follow meet at a common cut
-                    cuts = None
-                    for end in range(n - reach, n + 1):
-                        path, at = set(), end
-                        while at > 0 and last[at - 1] >= 0:
-                            path.add(at)
-                            at -= len(self.bytes_of[last[at - 1]])
-                        if at == 0:
-                            cuts = path if cuts is None else cuts & path
-                    cut = max(cuts or {0})
-                    if cut:
-                        out, at = [], cut
-                        while at > 0:
-                            out.append(last[at - 1])
-                            at -= len(self.bytes_of[last[at - 1]])
-                        yield from reversed(out)
-                        previous = out[0]
-                        held, last = held[cut:], last[cut:]
-        out, at = [], len(held)
+            for lo in range(0, len(chunk), reach):
+                held += chunk[lo : lo + reach]
+                last += [None] * (len(held) + 1 - len(last))
+                if len(held) >= 4 * reach:
+                    self._fill(held, last)
+                    if cut := self._stable(last, len(held), reach):
+                        out = self._path(last, cut)
+                        yield from out
+                        held, last = held[cut:], [out[-1], *last[cut + 1 :]]
+        if len(held) > reach:
+            self._fill(held, last)
+        elif held:
+            self._last(held, last, len(held))
+        yield from self._path(last, len(held))
+
+    def _fill(self, held: bytes, last: list) -> None:
+        for n in range(1, len(last)):
+            if last[n] is None:
+                self._last(held, last, n)
+
+    def _path(self, last: list, at: int) -> list[int]:
+        out, size = [], self.size_of
         while at > 0:
-            out.append(last[at - 1])
-            at -= len(self.bytes_of[last[at - 1]])
-        yield from reversed(out)
+            t = last[at]
+            out.append(t)
+            at -= size[t]
+        out.reverse()
+        return out
+
+    def _stable(self, last: list, n: int, reach: int) -> int:
+        """The furthest cut that the paths of all prefixes share which a later token may follow: their meeting point."""
+        ends = [-e for e in range(n - reach, n + 1) if last[e] >= 0]
+        heapify(ends)
+        while (at := -ends[0]) > 0 and len(ends) > 1:
+            heappop(ends)
+            if at != -ends[0]:
+                heappush(ends, self.size_of[last[at]] - at)
+        return max(at, 0)
 
     def piece(self, text: str) -> tuple[int, ...]:
-        known = self.cache.get(text)
+        """Token ids of one piece; of those seen lately from a cache of two generations."""
+        known = self.young.get(text)
         if known is None:
-            if len(text) > LONG:
-                known = tuple(self.stream((text.encode(),)))
-            else:
-                known = tuple(self._merge(text.encode()))  # ends within the lookahead: flushed at once
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[text] = known
+            known = self.old.get(text) or self._encoded(text.encode())
+            if len(text) <= CACHED:
+                if len(self.young) >= CACHE // 2:
+                    self.old, self.young = self.young, {}
+                self.young[text] = known
         return known
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        piece = self.piece
+    def _encoded(self, piece: bytes) -> tuple[int, ...]:
+        n = len(piece)
+        if not 0 < n <= self.lookahead:
+            return tuple(self.stream((piece,)))
+        last: list = [-1, *[None] * n]  # no cut can be due: the table is read off at the end
+        self._last(piece, last, n)
+        return tuple(self._path(last, n))
+
+    def windows(self, text: str) -> Iterator[list[int]]:
+        """Token ids of ``text``, a window at a time."""
         for part in self.splitter.split(text) if self.splitter and any(s in text for s in self.special) else (text,):
             if part in self.special:
-                out.append(self.special[part])
-            else:
-                find = self.pattern.findall if self.odd.search(part) else self.plain.findall
-                out += chain.from_iterable(map(piece, find(part)))
-        return out
+                yield [self.special[part]]
+                continue
+            at = 0
+            while at < len(part):
+                seam = self.seam.search(part, at + WINDOW)
+                end = seam.start() if seam else len(part)
+                pattern = self.pattern if self.odd.search(part, at, end) else self.plain
+                if end - at <= 4 * WINDOW:
+                    yield list(chain.from_iterable(map(self.piece, pattern.findall(part[at:end]))))
+                else:
+                    yield from self._long(part, at, end, pattern)
+                at = end
+
+    def _long(self, part: str, at: int, end: int, pattern: re.Pattern) -> Iterator[list[int]]:
+        """The same for a window without a seam: pieces one by one, long ones in chunks."""
+        held: list[int] = []
+        for m in pattern.finditer(part, at, end):
+            a, b = m.span()
+            for i in self.stream(part[k : min(k + WINDOW, b)].encode() for k in range(a, b, WINDOW)):
+                held.append(i)
+                if len(held) >= WINDOW:
+                    yield held
+                    held = []
+        yield held
+
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(self.windows(text)))
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text in parts, each as soon as its bytes are whole characters; broken bytes become U+FFFD."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        of, part, size = self.bytes_of, [], 0
         for i in ids:
-            part.append(of[i])
-            size += 1
-            if size == 4096:
-                yield machine.decode(b"".join(part))
-                part, size = [], 0
-        yield machine.decode(b"".join(part), final=True)
+            yield machine.decode(self.bytes_of[i])
+        yield machine.decode(b"", final=True)
 
 
 def load(path: str) -> Transducer:
@@ -228,23 +315,28 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
         import pyarrow as pa
 
         coder = per_worker(("bpe", key), lambda: Transducer(json.loads(sent.value)))
-        names = {i: str(i) for i in coder.bytes_of}
+        names = [str(i) for i in range(max(coder.bytes_of, default=-1) + 1)]
+        of = coder.bytes_of
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("n_tokens", "ids", "ids_sha256", "decoded_sha256", "round_trip")}
             for value in batch.column("text"):
                 text = value.as_py() or ""
-                ids = coder.encode(text)
-                digest = hashlib.sha256()
-                whole = hashlib.sha256()
-                for part in coder.decode(ids):
-                    digest.update(part.encode())
-                whole.update(text.encode())
-                rows["n_tokens"].append(len(ids))
-                rows["ids_sha256"].append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
-                rows["decoded_sha256"].append(digest.hexdigest())
-                rows["round_trip"].append(digest.digest() == whole.digest())
+                machine = codecs.getincrementaldecoder("utf-8")("replace")
+                digest, decoded, count, kept = hashlib.sha256(), hashlib.sha256(), 0, array("i")
+                for ids in coder.windows(text):
+                    if ids:
+                        digest.update((("," if count else "") + ",".join([names[i] for i in ids])).encode())
+                        decoded.update(machine.decode(b"".join([of[i] for i in ids])).encode())
+                        count += len(ids)
+                        if with_ids:
+                            kept.extend(ids)
+                decoded.update(machine.decode(b"", final=True).encode())
+                rows["n_tokens"].append(count)
+                rows["ids_sha256"].append(digest.hexdigest())
+                rows["decoded_sha256"].append(decoded.hexdigest())
+                rows["round_trip"].append(decoded.digest() == hashlib.sha256(text.encode()).digest())
                 if with_ids:
-                    rows["ids"].append(ids)
+                    rows["ids"].append(np.frombuffer(kept, dtype=np.int32) if kept else np.zeros(0, np.int32))
             columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(rows["n_tokens"], pa.int64())}
             if with_ids:
                 columns["ids"] = pa.array(rows["ids"], pa.list_(pa.int32()))
@@ -252,7 +344,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
             columns["round_trip"] = pa.array(rows["round_trip"], pa.bool_())
             yield pa.RecordBatch.from_pydict(columns)
         # the worker process lives on and serves other stages: it keeps the vocabulary, not the caches
-        coder.cache.clear()
+        coder.young, coder.old = {}, {}
         coder.pairs.clear()
         pa.default_memory_pool().release_unused()
 

@@ -256,11 +256,17 @@ def test_bpe(docs, texts, empty):
     odd = ["<|endoftext|>", "a<|endoftext|>b  c\n\n  d", "x" * 2000, " " * 900 + "a", "日本語" * 100, "aaaaaabaaab" * 30, "don't we'll I'M", "🙂🙃" * 30, "=-" * 200, "\t\t\n\r\n  "]
     r = random.Random(3)
     odd += ["".join(r.choice("etaoinshrdETAOT") for _ in range(r.randint(65, 300))) for _ in range(40)]
+    odd += ["\x1c\x1d x\x1f y", "a" * 70_000, "ab" * 40_000 + " " + "xyz" * 30_000, " " * 90_000, "\U00013470\U000143fa ab\U00010d41", "漢字" * 40_000, "a b " * 30_000]
+    mixed = ["a", "é", " ", "  ", "\n", "1", "'s", "!", "漢", "\u0301", "\x85", "\u2003", "\U00013460", "ing", "the "]
+    odd += ["".join(r.choice(mixed) for _ in range(r.randint(0, 60))) for _ in range(100)]
     for text in odd + [x or "" for x in texts]:
         ids = t.encode(text, add_special_tokens=False).ids
         assert coder.encode(text) == ids
         assert "".join(coder.decode(ids)) == t.decode(ids, skip_special_tokens=False)
     raw = ("etaoin" * 300).encode()
+    fed = iter(range(0, 400_000, 7))
+    first = next(coder.stream(b"etaoins"[: 7 - (i % 2)] for i in fed))  # emitted once stable, long before the end
+    assert first >= 0 and next(fed) < 10_000
     assert list(coder.stream(raw[i : i + 7] for i in range(0, len(raw), 7))) == coder.encode(raw.decode())
     got = bpe.encode_documents(docs, path).collect()
     assert len(got) == len(texts) and all(x.round_trip for x in got)
