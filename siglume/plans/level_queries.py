@@ -9,6 +9,8 @@ from siglume.operators import levels, onsets
 from siglume.plans.catalog import query, rounded
 from siglume.sources.views import sig_events, sig_stereo, with_views
 
+#: Samples are multiples of 1/51200: differences and half differences of them are whole at this place, so no rounding can part.
+EXACT = 12
 DB = "CASE WHEN {0} > 0 THEN 20 * log10({0}) END"
 
 
@@ -35,9 +37,9 @@ def hop_silence_bounds(spark, sf_dir):
     return levels.silence(sig_events(spark, sf_dir), "user_id", 10, 2, -5.5)
 
 
-@query(with_views("sig") + "SELECT user_id, count(*) FILTER (abs(x) >= 0.9) AS clipped, round(max(abs(x)), 6) AS peak FROM sig GROUP BY 1")
+@query(with_views("sig") + "SELECT user_id, count(*) FILTER (abs(x) >= 0.9) AS clipped, round(max(abs(x)), 12) AS peak FROM sig GROUP BY 1")
 def clip_count(spark, sf_dir):
-    return rounded(levels.clipping(sig_events(spark, sf_dir), "user_id", 0.9))
+    return rounded(levels.clipping(sig_events(spark, sf_dir), "user_id", 0.9), places=EXACT)
 
 
 @query(with_views("stereo") + """, s AS (SELECT signal_id, count(*) AS n, sum(l) AS sl, sum(r) AS sr, sum(l*l) AS ll, sum(r*r) AS rr, sum(l*r) AS lr,
@@ -53,9 +55,9 @@ def stereo_image(spark, sf_dir):
 FLUX = """, flux AS (SELECT user_id, i, x, greatest(coalesce(x - lag(x) OVER (PARTITION BY user_id ORDER BY i), 0), 0) AS f FROM sig)"""
 
 
-@query(with_views("sig") + FLUX + "SELECT user_id, i, round(f, 6) AS f FROM flux")
+@query(with_views("sig") + FLUX + "SELECT user_id, i, round(f, 12) AS f FROM flux")
 def positive_flux(spark, sf_dir):
-    return rounded(onsets.flux(sig_events(spark, sf_dir), "user_id").select("user_id", "i", "f"))
+    return rounded(onsets.flux(sig_events(spark, sf_dir), "user_id").select("user_id", "i", "f"), places=EXACT)
 
 
 PEAKS = FLUX + """, near AS (SELECT *, list(f) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS w FROM flux),
@@ -65,10 +67,10 @@ lag(f) OVER (PARTITION BY user_id ORDER BY i) AS p, lead(f) OVER (PARTITION BY u
 peaks AS (SELECT user_id, i, f, thr FROM thr WHERE f > thr AND f >= p AND f > n)"""
 
 
-@query(with_views("sig") + PEAKS + "SELECT user_id, i, round(f, 6) AS f, round(thr, 6) AS thr FROM peaks")
+@query(with_views("sig") + PEAKS + "SELECT user_id, i, round(f, 12) AS f, round(thr, 12) AS thr FROM peaks")
 def onset_detect(spark, sf_dir):
     found = onsets.peaks(onsets.with_threshold(onsets.flux(sig_events(spark, sf_dir), "user_id"), "user_id", scale=1.5), "user_id")
-    return rounded(found.select("user_id", "i", "f", "thr"))
+    return rounded(found.select("user_id", "i", "f", "thr"), places=EXACT)
 
 
 NMS = PEAKS + """, ranked AS (SELECT user_id, i, f, row_number() OVER (PARTITION BY user_id ORDER BY i) AS k FROM peaks),
@@ -78,9 +80,9 @@ CASE WHEN r.i - w.bi <= 3 THEN w.grp ELSE w.grp + 1 END FROM walk w JOIN ranked
 picked AS (SELECT user_id, arg_max(bi, k) AS i, arg_max(bf, k) AS f FROM walk GROUP BY user_id, grp)"""
 
 
-@query(with_views("sig", recursive=True) + NMS + "SELECT user_id, i, round(f, 6) AS f FROM picked")
+@query(with_views("sig", recursive=True) + NMS + "SELECT user_id, i, round(f, 12) AS f FROM picked")
 def onset_nms(spark, sf_dir):
-    return rounded(onsets.onsets(sig_events(spark, sf_dir), "user_id", scale=1.5, min_gap=3))
+    return rounded(onsets.onsets(sig_events(spark, sf_dir), "user_id", scale=1.5, min_gap=3), places=EXACT)
 
 
 @query(with_views("sig", recursive=True) + NMS + """SELECT s.user_id, coalesce(p.c, 0) AS n_onsets, round(coalesce(p.c, 0) / s.n, 6) AS rate
@@ -127,14 +129,14 @@ def velocity_from_peak_windows(spark, sf_dir):
 
 
 @query(with_views("sig") + """, d AS (SELECT user_id, i, x, abs(x - lag(x) OVER (PARTITION BY user_id ORDER BY i)) AS jump, lag(x) OVER (PARTITION BY user_id ORDER BY i) AS p FROM sig)
-SELECT user_id, count(*) FILTER (jump > 0.85 AND (abs(x) >= 0.01 OR abs(p) >= 0.01)) AS violations, arg_min(i, (-jump, i)) AS worst_at, round(max(jump), 6) AS worst FROM d WHERE jump IS NOT NULL GROUP BY 1""")
+SELECT user_id, count(*) FILTER (jump > 0.85 AND (abs(x) >= 0.01 OR abs(p) >= 0.01)) AS violations, arg_min(i, (-jump, i)) AS worst_at, round(max(jump), 12) AS worst FROM d WHERE jump IS NOT NULL GROUP BY 1""")
 def discontinuity_check(spark, sf_dir):
     p = F.lag("x").over(W.partitionBy("user_id").orderBy("i"))
     d = sig_events(spark, sf_dir).withColumn("p", p).withColumn("jump", F.abs(F.col("x") - F.col("p"))).where("jump is not null")
     loud = (F.abs("x") >= 0.01) | (F.abs("p") >= 0.01)
     return rounded(d.groupBy("user_id").agg(
         F.count_if((F.col("jump") > 0.85) & loud).alias("violations"), F.min_by("i", F.struct(-F.col("jump"), "i")).alias("worst_at"), F.max("jump").alias("worst")
-    ))
+    ), places=EXACT)
 
 
 @query(with_views("sig") + f""", s AS (SELECT user_id, max(i) AS last FROM sig GROUP BY 1), t AS (SELECT g.user_id, {DB.format('sqrt(avg(x * x))')} AS db FROM sig g JOIN s USING (user_id) WHERE i > last - 5 GROUP BY 1)

@@ -10,16 +10,16 @@ from siglume.operators.onsets import peaks, suppress
 from siglume.plans.catalog import query, rounded
 from siglume.sources.views import frame_bins, sig_frames, with_views
 
-DFT = """, w AS (SELECT frame, CAST(j - 1 AS BIGINT) AS j, v[j] * (0.5 - 0.5 * cos(2 * pi() * (j - 1) / 63)) AS x FROM frames, range(1, 65) t(j) {where})
+DFT = """, w AS (SELECT frame, CAST(j - 1 AS BIGINT) AS j, v[j] * (0.5 - 0.5 * cos(2 * pi() * (j - 1) / 63)) AS x FROM frames, range(1, 65) t(j))
 SELECT frame, b AS bin, round(sqrt(pow(sum(x * cos(2 * pi() * b * j / 64)), 2) + pow(sum(x * sin(2 * pi() * b * j / 64)), 2)), 5) AS mag FROM w, range(0, 33) s(b) GROUP BY 1, 2"""
 
 
-@query(with_views("frames") + DFT.format(where="WHERE label = 3"))
+@query(with_views("frames") + DFT)
 def stft_dft(spark, sf_dir):
-    return rounded(spectral.dft_magnitudes(sig_frames(spark, sf_dir).where("label = 3"), 64), places=5)
+    return rounded(spectral.dft_magnitudes(sig_frames(spark, sf_dir), 64), places=5)
 
 
-@query(with_views("frames") + DFT.format(where=""))
+@query(with_views("frames") + DFT)
 def stft_fft(spark, sf_dir):
     return rounded(spectral.fft_magnitudes(sig_frames(spark, sf_dir)), places=5)
 
