@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from .common import discard, materialize
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges(u, v)`` written and read back, with their count and a hash of them, both taken during the write."""
+    seen = Observation()
+    out = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "cc")
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -20,8 +22,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     with a third of all edges is one pre-aggregated key and one splittable join key.
     """
     pair = edges.where("u is not null and v is not null and u <> v")
-    cur = materialize(pair.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    before = _signature(cur)
+    cur, before = _written(pair.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):
         if not before[0]:
             break
@@ -33,9 +34,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))
         )
-        last, cur = cur, materialize(small.distinct(), "cc")
+        last, (cur, after) = cur, _written(small.distinct())
         discard(last)
-        after = _signature(cur)
         if after == before:
             break
         before = after

@@ -21,7 +21,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bitmap, in_bitmap, materialize, small
+from . import tokens as K
+from .common import OWN, bitmap, discard, in_bitmap, materialize, settle, small
 from .components import connected_components
 
 #: Documents whose shingles give the global order, and shingles that the order lists (8 bytes each, broadcast).
@@ -33,8 +34,6 @@ HELD = 2_000_000
 
 def _shingles(column, n: int):
     """Yields ``(row, sorted distinct shingle hashes)``: lower-cased A-Z, words between ASCII white space."""
-    from siglume.llm import tokens as K
-
     powers = K.Powers()
     raw, offsets = K.buffers(column)
     for lo, hi, buf, off in K.blocks(raw, offsets):
@@ -56,8 +55,6 @@ def _shingles(column, n: int):
 
 
 def _identity(s: np.ndarray) -> tuple[int, int]:
-    from siglume.llm import tokens as K
-
     a = K.mix(s + K.SHINGLE[2])
     pair = np.array([a.sum(dtype=np.uint64), np.bitwise_xor.reduce(K.mix(a * K.SHINGLE[1]))], dtype=np.uint64) if len(s) else np.zeros(2, np.uint64)
     return tuple(int(x) for x in K.mix(pair + np.uint64(len(s))).view(np.int64))
@@ -129,6 +126,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, listed) -> DataFrame:
 def _sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     """``sid, n, set`` of the wanted set ids, one row each. A bitmap lets the scan pass over most texts before anything is
     shuffled; a join removes its false positives."""
+    wanted = materialize(wanted, "jaccard-wanted")
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "sid"))
 
     def kernel(batches):
@@ -144,11 +142,13 @@ def _sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"sid": pa.array(ids, pa.int64()), "n": pa.array(size, pa.int64()), "set": pa.array(sets, pa.list_(pa.int64()))})
 
     passed = docs.select("text").mapInArrow(kernel, "sid long, n long, set array<long>")
-    return materialize(passed.join(small(wanted), "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-sets")
+    out = materialize(passed.join(small(wanted), "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-sets")
+    discard(sent, wanted)
+    return out
 
 
 def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``p, x, inter, np, nx, link`` for pairs of set ids. Each pivot's set is sent once to each of its salts, each
+    """``p, x, inter, np, nx, link, d`` for pairs of set ids, as a table. Each pivot's set is sent once to each of its salts, each
     member's set once for each pivot; a task holds one pivot and one member at a time."""
     pairs = materialize(pairs.select("p", "x"), "jaccard-pairs")
     load = pairs.groupBy("p").agg(F.ceil(F.count("*") / 1000).cast("int").alias("salts"))
@@ -181,7 +181,10 @@ def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     found = dealt.mapInArrow(kernel, "p long, x long, inter long, np long, nx long")
     union = F.col("np") + F.col("nx") - F.col("inter")
-    return found.withColumns({"link": 100 * F.col("inter") >= percent * union, "d": 1 - F.col("inter") / union})
+    found = found.withColumns({"link": 100 * F.col("inter") >= percent * union, "d": 1 - F.col("inter") / union})
+    out = materialize(found, "jaccard-distances")
+    discard(pairs)
+    return out
 
 
 def _wanted(keys: DataFrame, percent: int, by: str = "sid") -> DataFrame:
@@ -199,13 +202,15 @@ def _least(percent: int):
 
 
 def _blocks(keys: DataFrame, percent: int) -> DataFrame:
-    """``p, sid, n``: each set in the blocks of its rarest keys, all but ``l - 1`` of them where partners share ``l`` at
-    least; any two partners still meet, in the rarest key they share. ``p`` is the block's first set."""
+    """``p, x, n``: each set ``x`` in the blocks of its rarest keys, all but ``l - 1`` of them where partners share ``l`` at
+    least; any two partners still meet, in the rarest key they share. ``p`` is the block's first set, itself left out."""
     sets = keys.groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("keys"))
     few = sets.select("sid", "n", F.explode(F.slice("keys", F.lit(1), F.greatest(F.lit(0), F.size("keys") - _least(percent) + 1))).alias("at"))
     few = materialize(few.select("sid", "n", "at.key"), "jaccard-members")
     first = few.groupBy("key").agg(F.min("sid").alias("p"), F.max("sid").alias("q")).where("p <> q").select("key", "p")
-    return few.join(first, "key").select("p", "sid", "n").distinct()
+    out = materialize(few.join(first, "key").select("p", F.col("sid").alias("x"), "n").where("p <> x").distinct(), "jaccard-blocks")
+    discard(few)
+    return out
 
 
 def _compare(loose: DataFrame, tagged: DataFrame, sets: DataFrame, percent: int, radius: float) -> DataFrame:
@@ -260,29 +265,48 @@ def _compare(loose: DataFrame, tagged: DataFrame, sets: DataFrame, percent: int,
                 out_x += ids[hit].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.int64()), pa.array(out_x, pa.int64())], ["p", "x"])
 
-    return dealt.mapInArrow(kernel, "p long, x long")
+    out = materialize(dealt.mapInArrow(kernel, "p long, x long"), "jaccard-compared")
+    discard(load, visits)
+    return out
+
+
+def _tagged(region: DataFrame, home: DataFrame) -> DataFrame:
+    """``region(p, x, ..)`` with ``cx`` and ``cp``, the components of both ends so far."""
+    out = region.join(home.select(F.col("sid").alias("x"), F.col("root").alias("cx")), "x").join(home.select(F.col("sid").alias("p"), F.col("root").alias("cp")), "p")
+    return materialize(out, "jaccard-labels")
+
+
+def _joined(home: DataFrame, links: DataFrame) -> DataFrame:
+    """``home(sid, root)`` after further links ``p, x``. Only links between components count, so their graph is small: it
+    has a node for each component that grows, whatever the components hold."""
+    a, b = home.select(F.col("sid").alias("p"), F.col("root").alias("v")), home.select(F.col("sid").alias("x"), F.col("root").alias("u"))
+    across = materialize(links.select("p", "x").join(a, "p").join(b, "x").where("u <> v").select("u", "v").distinct(), "jaccard-across")
+    if across.isEmpty():
+        discard(across)
+        return home
+    moved = connected_components(across).where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("to"))
+    out = materialize(home.join(moved, "root", "left").select("sid", F.coalesce("to", "root").alias("root")), "jaccard-home")
+    discard(across, home)
+    return out
 
 
-def _labels(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members(p, x, ..)`` with ``cx`` and ``cp``, the components of both ends under ``links`` so far."""
-    home = connected_components(links.select(F.col("p").alias("u"), F.col("x").alias("v")))
-    cx = home.select(F.col("node").alias("x"), F.col("root").alias("cx"))
-    cp = home.select(F.col("node").alias("p"), F.col("root").alias("cp"))
-    out = members.join(cx, "x", "left").join(cp, "p", "left")
-    return materialize(out.withColumns({"cx": F.coalesce("cx", "x"), "cp": F.coalesce("cp", "p")}), "jaccard-labels")
+def _at(keys: DataFrame, *more: str) -> DataFrame:
+    return keys.select("sid", "n", *more, F.explode("keys").alias("at")).select("sid", "n", *more, "at.c", "at.key")
 
 
 def link_sets(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Rows ``doc_id, th, n_shingles, k1, k2`` and links ``p, x`` between set ids (``k1``) that connect exactly the sets
-    that a chain of pairs at or above ``percent`` connects."""
+    """Rows ``doc_id, th, n_shingles, k1, k2`` and components ``sid, root`` of set ids (``k1``): exactly the sets that a chain
+    of pairs at or above ``percent`` connects have one root. Sets that can't have a partner are absent."""
     spark = docs.sparkSession
     listed = spark.sparkContext.broadcast(_order(docs, n))
     rows = materialize(_prefixes(docs, n, percent, listed), "jaccard-rows")
+    discard(listed)
     rows = rows.withColumn("rh", F.xxhash64("doc_id", "th"))
     one = rows.where("n_shingles > 0").groupBy("k1").agg(F.min("rh").alias("rh"), F.min("k2").alias("a"), F.max("k2").alias("b"))
     one = one.select(F.when(F.col("a") == F.col("b"), F.col("rh")).otherwise(F.raise_error(F.lit("two sets share a 64-bit identity"))).alias("rh"))
     # one row speaks for all equal sets; a few others may pass the bitmap, which only costs time
-    speaks = spark.sparkContext.broadcast(bitmap(materialize(one, "jaccard-speakers"), "rh"))
+    one = materialize(one, "jaccard-speakers")
+    speaks = spark.sparkContext.broadcast(bitmap(one, "rh"))
 
     def spoken(batch):
         import pyarrow as pa
@@ -319,48 +343,55 @@ def link_sets(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 2) -
 
     keys = prefixes.mapInArrow(sieve, "sid long, n long, key long").join(small(shared), "key").distinct()
     keys = materialize(_wanted(keys, percent), "jaccard-keys")
-    members = _blocks(keys.select("sid", "n", F.explode("keys").alias("at")).select("sid", "n", "at.c", "at.key"), percent)
-    apart = members.where("sid <> p").select("p", F.col("sid").alias("x"))
+    discard(one, speaks, shared, sent)
+    members = _blocks(_at(keys), percent)
     # coarse regions first: all that shared shingles connect, around one pivot each; this closes most blocks
-    coarse = materialize(connected_components(apart.distinct().select(F.col("p").alias("u"), F.col("x").alias("v"))), "jaccard-coarse")
+    coarse = materialize(connected_components(members.select(F.col("p").alias("u"), F.col("x").alias("v"))), "jaccard-coarse")
+    discard(members)
+    settle(spark)
     whole = _sets(docs, n, coarse.select(F.col("node").alias("sid")))
-    stars = coarse.where("node <> root").select(F.col("root").alias("p"), F.col("node").alias("x"))
-    links = materialize(_distances(stars, whole, percent).where("link").select("p", "x"), "jaccard-links")
-    home = connected_components(links.select(F.col("p").alias("u"), F.col("x").alias("v"))).select(F.col("node").alias("sid"), "root")
-    home = coarse.select(F.col("node").alias("sid")).join(home, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"))
-    home = materialize(home, "jaccard-home")
+    stars = _distances(coarse.where("node <> root").select(F.col("root").alias("p"), F.col("node").alias("x")), whole, percent)
+    near = stars.where("link").select(F.col("x").alias("node"), F.col("p").alias("to"))  # stars already: no graph to walk
+    home = materialize(coarse.join(near, "node", "left").select(F.col("node").alias("sid"), F.coalesce("to", "node").alias("root")), "jaccard-home")
+    discard(coarse, stars)
     # what is left: blocks whose sets aren't all connected, and in them sets that share enough such blocks with others;
     # a set alone in its first blocks has no partner anywhere, so only fetched sets go on (other counts could make it a pivot)
     open_keys = keys.select("sid", "n", F.explode("keys.key").alias("key"))
-    left = _wanted(open_keys.join(home, "sid"), percent, by="root")
-    left = left.select("sid", "n", F.explode("keys").alias("at")).select("sid", "n", "at.key").join(home, "sid")
-    left = materialize(_wanted(left, percent, by="root"), "jaccard-open")
-    members = _blocks(left.select("sid", "n", F.explode("keys").alias("at")).select("sid", "n", "at.c", "at.key"), percent)
-    members = members.where("sid <> p").select("p", F.col("sid").alias("x"), "n").distinct()
-    first = materialize(_distances(members, whole, percent), "jaccard-distances")
-    links = links.unionByName(first.where("link").select("p", "x"))
+    seen = materialize(_wanted(open_keys.join(home, "sid"), percent, by="root"), "jaccard-seen")
+    left = materialize(_wanted(_at(seen).select("sid", "n", "key").join(home, "sid"), percent, by="root"), "jaccard-open")
+    members = _blocks(_at(left), percent)
+    discard(keys, seen, left)
+    first = _distances(members, whole, percent)
+    home = _joined(home, first.where("link"))
+    settle(spark)
     radius = (100 - percent) / 100 + 1e-9
     region = first.select("p", "x", "d", F.col("nx").alias("n"))
     done = None  # (p, y): members that were pivots of the region already
     for turn in range(rounds + 1):
-        tagged = _labels(region, materialize(links, "jaccard-links"))
+        tagged = _tagged(region, home)
         loose = tagged.where("cx <> cp")
         if done is not None:
             loose = loose.join(done.withColumnRenamed("y", "x"), ["p", "x"], "left_anti")
         if turn == rounds:
-            links = links.unionByName(_compare(loose, tagged, whole, percent, radius))
+            found = _compare(loose, tagged, whole, percent, radius)
+            home = _joined(home, found)
+            discard(found, tagged)
             break
         chosen = materialize(loose.groupBy("p").agg(F.min("x").alias("y")), "jaccard-chosen")
         if chosen.isEmpty():
+            discard(chosen, tagged)
             break
         mine = tagged.select("p", F.col("x").alias("y"), F.col("d").alias("dy"), F.col("n").alias("ny"), F.col("cx").alias("cy"))
         near = chosen.join(mine, ["p", "y"]).join(tagged.select("p", "x", "d", "n", "cx"), "p")
         near = near.where((F.col("x") != F.col("y")) & (F.col("cx") != F.col("cy")) & (F.abs(F.col("d") - F.col("dy")) <= radius))
         near = near.where((100 * F.col("n") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("n")))
-        fresh = near.select(F.col("y").alias("p"), "x").distinct()
-        links = links.unionByName(_distances(fresh, whole, percent).where("link").select("p", "x"))
+        found = _distances(near.select(F.col("y").alias("p"), "x").distinct(), whole, percent)
+        home = _joined(home, found.where("link"))
+        discard(found, tagged)
         done = chosen if done is None else done.unionByName(chosen)
-    return rows.drop("prefix"), materialize(links, "jaccard-links")
+    discard(first, whole)
+    settle(spark)
+    return rows.drop("prefix"), home
 
 
 def components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -371,10 +402,9 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     Repeated rows keep their rows; null ids never are a component id unless nothing else is there; extra columns
     are ignored.
     """
-    rows, links = link_sets(docs, n, percent)
-    home = connected_components(links.select(F.col("p").alias("u"), F.col("x").alias("v")))
+    rows, home = link_sets(docs, n, percent)
     sets = rows.where("n_shingles > 0").groupBy("k1").agg(F.min("doc_id").alias("low"))
-    sets = sets.join(home.select(F.col("node").alias("k1"), "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+    sets = sets.join(home.select(F.col("sid").alias("k1"), "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     lows = sets.where("root <> k1").groupBy("root").agg(F.min("low").alias("other"))  # only where several sets are linked
     low = sets.join(lows, "root", "left").select("k1", F.least("low", "other").alias("a"), "low", "root", "other")
     # members other than the root also need the root's own smallest id
@@ -390,15 +420,14 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Documents without words link with nothing and all stay; of rows with the same doc_id and text one stays.
     """
-    rows, links = link_sets(docs, n, percent)
-    home = connected_components(links.select(F.col("p").alias("u"), F.col("x").alias("v")))
-    rows = rows.join(home.select(F.col("node").alias("k1"), "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+    rows, home = link_sets(docs, n, percent)
+    rows = rows.join(home.select(F.col("sid").alias("k1"), "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     chosen = rows.where("n_shingles > 0").groupBy("root").agg(F.min(who).alias("w")).select("w.doc_id", "w.th")
     chosen = chosen.unionByName(rows.where("n_shingles = 0").select("doc_id", "th").distinct())
-    chosen = materialize(chosen.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")), "jaccard-kept")
-    hashed = docs.withColumn("_th", F.xxhash64("text"))
-    kept = hashed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left_semi")
+    chosen = materialize(chosen.select(F.col("doc_id").alias(f"{OWN}d"), F.col("th").alias(f"{OWN}t")), "jaccard-kept")
+    hashed = docs.withColumn(f"{OWN}h", F.xxhash64("text"))
+    kept = hashed.join(chosen, F.col("doc_id").eqNullSafe(F.col(f"{OWN}d")) & (F.col(f"{OWN}h") == F.col(f"{OWN}t")), "left_semi")
     if not rows.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_th"])
+        kept = kept.dropDuplicates(["doc_id", f"{OWN}h"])
     return kept.select(*docs.columns)
