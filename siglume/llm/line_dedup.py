@@ -13,16 +13,15 @@ Equal lines are counted as one line from the start, so copies never meet each ot
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from .common import materialize, small
+from . import tokens as K
+from .common import OWN, discard, materialize, settle, small
 
 MIN_CHARS = 16
 
 
 def _spots(offsets, buf, cut: int = 10):
-    from siglume.llm import tokens as K
-
     return K.runs(buf != cut, offsets)
 
 
@@ -32,8 +31,6 @@ def _line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     def kernel(batches):
         import pyarrow as pa
 
-        from siglume.llm import tokens as K
-
         powers = K.Powers()
         tag = [np.uint64(int(x) * 2 + 1) for x in K.SHINGLE[:4] >> np.uint64(2)]
         for batch in batches:
@@ -78,8 +75,6 @@ def _variants(lines: DataFrame) -> DataFrame:
     def kernel(batches):
         import pyarrow as pa
 
-        from siglume.llm import tokens as K
-
         powers = K.Powers()
         for batch in batches:
             for i in range(batch.num_rows):
@@ -134,6 +129,7 @@ def find_duplicates(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int
         wanted = distinct.join(live, ["h1", "h2"]).select("h1", "h2", "first.*")
         texts = materialize(_pick_lines(docs, wanted), "lines-live")
         variants = materialize(_variants(texts), "lines-variants")
+        settle(docs.sparkSession)
         met = variants.groupBy("v", "nv").agg(F.count("*").alias("c"), F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("v", "nv")
         first = distinct.select("h1", "h2", "first")
         rows = variants.join(met, ["v", "nv"]).join(first, ["h1", "h2"])
@@ -148,6 +144,7 @@ def find_duplicates(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int
         )))
         pairs = rows.withColumn("best", partner).where(F.col("best.first") < F.col("first"))
         pairs = materialize(pairs.groupBy("h1", "h2").agg(F.min("best").alias("best")), "lines-pairs")
+        discard(variants)
         other = texts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("text").alias("other"))
         near = (
             pairs.join(texts, ["h1", "h2"]).join(other, (F.col("best.h1") == F.col("g1")) & (F.col("best.h2") == F.col("g2")))
@@ -157,7 +154,10 @@ def find_duplicates(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int
     decided = decided.join(near, ["h1", "h2"], "left") if near is not None else decided.withColumn("near", F.lit(None).cast("boolean"))
     decided = decided.where("copies > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     # a table of its own: the join below then stands on two plain exchanges, which Spark can split under a hot line
-    decided = small(materialize(decided, "lines-decided"))
+    decided = materialize(decided, "lines-decided")
+    discard(distinct, *([texts, pairs] if near is not None else []))
+    settle(docs.sparkSession)
+    decided = small(decided)
     return occurrences.select("h1", "h2", "doc_id", "th", "line").join(decided, ["h1", "h2"]).where(F.col("near") | (_loc() != F.col("first"))).select("doc_id", "th", "line", "near")
 
 
@@ -168,35 +168,36 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1)
     stays empty. Rows with the same doc_id and text are the same document seen twice and come out alike.
     Extra columns pass through; ``n_lines``, ``n_exact``, ``n_near`` of the input are replaced.
     """
-    docs = docs.drop("n_lines", "n_exact", "n_near", "th", "dropped")
-    hashed = docs.withColumn("th", F.xxhash64("text"))
-    found = find_duplicates(hashed, min_chars, max_edits)
-    drops = found.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(
-        F.collect_list("line").alias("dropped"), F.sum(F.col("near").cast("long")).alias("n_near")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in COUNTS])
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    found = find_duplicates(texts, min_chars, max_edits)
+    drops = found.groupBy(F.col("doc_id").alias(f"{OWN}d"), F.col("th").alias(f"{OWN}t")).agg(
+        F.collect_list("line").alias(f"{OWN}lines"), F.sum(F.col("near").cast("long")).alias(f"{OWN}near")
     )
-    joined = hashed.join(drops, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
-    out = joined.withColumn("n_near", F.coalesce("n_near", F.lit(0)))
-    return _rebuild(out.drop("_d", "_t", "th"), docs)
+    same = F.col("doc_id").eqNullSafe(F.col(f"{OWN}d")) & (F.xxhash64("text") == F.col(f"{OWN}t"))
+    return _rebuild(docs.join(drops, same, "left"), docs)
 
 
-def _rebuild(joined: DataFrame, docs: DataFrame) -> DataFrame:
-    from pyspark.sql import types as T
+COUNTS = ("n_lines", "n_exact", "n_near")
+
 
+def _rebuild(joined: DataFrame, docs: DataFrame) -> DataFrame:
     names = list(docs.columns)
 
     def kernel(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts, counts, exact = [], [], []
-            for text, drop, near in zip(*(batch.column(c).to_pylist() for c in ("text", "dropped", "n_near"))):
+            texts, counts, exact, close = [], [], [], []
+            for text, drop, near in zip(*(batch.column(c).to_pylist() for c in ("text", f"{OWN}lines", f"{OWN}near"))):
                 lines = text.split("\n") if text else []
                 gone = set(drop or ())
                 counts.append(len(lines))
-                exact.append(len(gone) - near)
+                close.append(near or 0)
+                exact.append(len(gone) - close[-1])
                 texts.append("\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else text)
             columns = {k: batch.column(k) for k in names} | {"text": pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_pydict(columns | {"n_lines": pa.array(counts, pa.int64()), "n_exact": pa.array(exact, pa.int64()), "n_near": batch.column("n_near")})
+            yield pa.RecordBatch.from_pydict(columns | {k: pa.array(v, pa.int64()) for k, v in zip(COUNTS, (counts, exact, close))})
 
-    more = [T.StructField(c, T.LongType()) for c in ("n_lines", "n_exact", "n_near")]
-    return joined.select(*docs.columns, "dropped", "n_near").mapInArrow(kernel, T.StructType([*docs.schema.fields, *more]))
+    more = [T.StructField(c, T.LongType()) for c in COUNTS]
+    return joined.select(*docs.columns, f"{OWN}lines", f"{OWN}near").mapInArrow(kernel, T.StructType([*docs.schema.fields, *more]))

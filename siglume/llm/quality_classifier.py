@@ -6,16 +6,18 @@ abstains; the votes of all documents are counted by pattern (at most ``3 ** labe
 driver sees a bounded table), EM over those counts estimates each labeller's accuracies and the class prior,
 and each pattern's posterior is the soft label of its documents. A logistic scorer over hashed words, word
 beginnings and style buckets is then trained, with an L1 penalty, on the posteriors of ``max_train``
-documents (default 8,000; those of least id hash). One toxicity labeller is a lexicon taken from at most
-``max_labels`` labelled rows (default 20,000). Votes, pattern counts and scores cover every document.
+documents (default 8,000; those of least id hash), in one task of an executor. One toxicity labeller is a lexicon
+of all words that set toxic documents apart in at most ``max_labels`` labelled rows (default 20,000), which bounds
+it. Votes, pattern counts and scores cover every document.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import materialize
+from . import tokens as K
+from .common import discard, materialize, settle
 
 BITS = 18
 #: Fixed English insult words of the public-lexicon labeller.
@@ -25,8 +27,6 @@ TOXIC = ("insults", "lexicon", "beginnings")
 
 
 def _hash_word(word: str) -> int:
-    from siglume.llm import tokens as K
-
     buf = np.frombuffer(word.encode(), dtype=np.uint8)
     powers = K.Powers()
     return int(K.span_hash(K.prefix(buf, powers), np.array([0]), np.array([len(buf)]), powers)[0])
@@ -41,8 +41,6 @@ def _letters() -> np.ndarray:
 
 def _walk(column, visit) -> None:
     """Calls ``visit(lo, hi, parts)`` for each block: hashed lower-case letter runs and style shares."""
-    from siglume.llm import tokens as K
-
     powers, letters = K.Powers(), _letters()
     raw, offsets = K.buffers(column)
     symbol = np.zeros(256, dtype=bool)
@@ -160,25 +158,28 @@ def _features(parts: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
-def train(rows: list[np.ndarray], target: np.ndarray, penalty: float = 1e-3, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """L1 logistic regression by accelerated proximal gradient over binary sparse rows; soft targets."""
-    size = np.array([len(r) for r in rows])
-    if not len(rows) or not size.sum():
+def train(cols: np.ndarray, size: np.ndarray, target: np.ndarray, penalty: float = 1e-3, rounds: int = 150) -> tuple[np.ndarray, float]:
+    """L1 logistic regression by accelerated proximal gradient over binary sparse rows; soft targets. ``cols`` holds the
+    rows' buckets one after the other, ``size`` their number in each row."""
+    n = len(size)
+    if not n or not len(cols):
         return np.zeros(1 << BITS), -5.0
-    cols, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-    row = np.repeat(np.arange(len(rows)), size)
-    often = np.bincount(inverse, minlength=len(cols)) >= 5
-    keep = often[inverse]
-    inverse, row = inverse[keep], row[keep]
-    n, scale = len(rows), np.sqrt(np.bincount(inverse, minlength=len(cols)) + 1.0)
-    w = np.zeros(len(cols))
+    count = np.bincount(cols, minlength=1 << BITS)
+    often = np.flatnonzero(count >= 5)
+    place = np.full(1 << BITS, -1, dtype=np.int32)
+    place[often] = np.arange(len(often))
+    at = place[cols]
+    row = np.repeat(np.arange(n, dtype=np.int32), size)[at >= 0]
+    at = at[at >= 0]
+    scale = np.sqrt(count[often] + 1.0)
+    w = np.zeros(len(often))
     y, t = w.copy(), 1.0
     b = by = float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
     rate = 4.0 * n / (scale * np.sqrt(max(1.0, size.mean())))  # diagonal steps: rare features move further
     for _ in range(rounds):
-        z = by + np.bincount(row, weights=y[inverse], minlength=n)
+        z = by + np.bincount(row, weights=y[at], minlength=n)
         r = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target
-        grad = np.bincount(inverse, weights=r[row], minlength=len(cols)) / n
+        grad = np.bincount(at, weights=r[row], minlength=len(often)) / n
         step = rate / (scale * 2)
         new = y - step * grad
         new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
@@ -187,11 +188,11 @@ def train(rows: list[np.ndarray], target: np.ndarray, penalty: float = 1e-3, rou
         y, by = new + (t - 1) / nt * (new - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = new, nb, nt
     full = np.zeros(1 << BITS)
-    full[cols] = w
+    full[often] = w
     return full, b
 
 
-def _lexicon(docs: DataFrame, labels: DataFrame, max_labels: int, limit: int = 5000) -> tuple[np.ndarray, np.ndarray]:
+def _lexicon(docs: DataFrame, labels: DataFrame, max_labels: int) -> tuple[np.ndarray, np.ndarray]:
     """Word and beginning hashes seen in toxic labelled documents and (almost) never in others."""
     chosen = labels.where("doc_id is not null and toxic is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     some = docs.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").select("toxic", "text")
@@ -221,13 +222,15 @@ def _lexicon(docs: DataFrame, labels: DataFrame, max_labels: int, limit: int = 5
     # so many toxic documents that chance gives none of the words seen here that often
     share, words = chosen.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0, max(seen.count(), 1)
     least = max(4, int(np.ceil(np.log(1e-2 / words) / np.log(min(max(share, 1e-3), 0.9)))))
-    best = seen.where(f"t >= {least} and t >= 0.97 * n").orderBy(F.desc("t"), "h").limit(2 * limit).collect()
+    best = seen.where(f"t >= {least} and t >= 0.97 * n").collect()  # words of max_labels rows at most
+    discard(seen)
     pick = lambda kind: np.sort(np.array([r["h"] for r in best if r["kind"] == kind], dtype=np.int64).view(np.uint64))
     return pick(0), pick(1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_labels: int = 20_000) -> dict:
     """The fitted model: label models, heads (weights and bias) for quality and toxicity, lexicons."""
+    docs = docs.select("doc_id", "text")
     lexicon, beginnings = _lexicon(docs, labels, max_labels)
     insults = np.sort(np.array([_hash_word(w) for w in INSULTS], dtype=np.uint64))
 
@@ -275,20 +278,41 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_labels: i
             })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sample.mapInArrow(featurise, f"doc_id {kind}, q long, t long, f array<int>").orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id").limit(max_train).toArrow()
-    feats = [np.asarray(x.values) for x in rows.column("f").combine_chunks()] if rows.num_rows else []
-    heads = [
-        train(feats, np.array([m["posterior"][p] for p in rows.column(k).to_pylist()], dtype=float)) for m, k in zip(models, ("q", "t"))
-    ]
+    posteriors = [m["posterior"] for m in models]
+
+    def fit_heads(batches):
+        import pyarrow as pa
+
+        held = [(b.column("q").to_numpy(), b.column("t").to_numpy(), np.diff(b.column("f").offsets.to_numpy()), b.column("f").flatten().to_numpy()) for b in batches]
+        for head, known in enumerate(posteriors):
+            target = np.array([known[p] for h in held for p in h[head].tolist()], dtype=float)
+            size = np.concatenate([h[2] for h in held]) if held else np.zeros(0, np.int64)
+            full, bias = train(np.concatenate([h[3] for h in held]) if held else np.zeros(0, np.int32), size, target)
+            at = np.flatnonzero(full)
+            yield pa.RecordBatch.from_pydict({"head": pa.array(np.full(len(at) + 1, head, np.int32)), "at": pa.array(np.append(at, -1)), "w": pa.array(np.append(full[at], bias))})
+
+    # max_train rows at most meet in one task, which trains; 2 ** BITS weights a head at most come back
+    rows = sample.mapInArrow(featurise, f"doc_id {kind}, q long, t long, f array<int>").orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id").limit(max_train)
+    found = rows.select("q", "t", "f").mapInArrow(fit_heads, "head int, at long, w double").toArrow()
+    head, at, w = (found.column(c).to_numpy() for c in ("head", "at", "w"))
+    heads = []
+    for h in range(len(models)):
+        full = np.zeros(1 << BITS, dtype=np.float32)
+        mine, bias = at[head == h], w[head == h]
+        full[mine[mine >= 0]] = bias[mine >= 0]
+        heads.append((full, float(bias[mine < 0][0]) if (mine < 0).any() else -5.0))
+    settle(docs.sparkSession)
     return {"models": models, "heads": heads, "insults": insults, "lexicon": lexicon, "beginnings": beginnings}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """One row per input row: ``doc_id, low_quality, toxic`` (probabilities) and ``kept``; wordless texts are rejected.
+def score(docs: DataFrame, model: dict, prefix: str = "") -> DataFrame:
+    """``docs`` with ``low_quality, toxic`` (probabilities) and ``kept``, their names behind ``prefix``; wordless texts are
+    rejected. One row per input row.
 
-    Null and empty texts have no word: low quality 1. Repeated rows keep their rows; extra columns pass through
-    when ``docs`` has them.
+    Null and empty texts have no word: low quality 1. Repeated rows keep their rows; extra columns pass through, but
+    columns of the input that are called like the three new ones are replaced.
     """
+    names = [prefix + c for c in ("low_quality", "toxic", "kept")]
     weights = [np.ascontiguousarray(w, dtype=np.float32) for w, _ in model["heads"]]
     sent = docs.sparkSession.sparkContext.broadcast((weights, [b for _, b in model["heads"]]))  # 2 MB, fixed by BITS
 
@@ -325,15 +349,13 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             p[0, empty] = 1.0
             kept = (p[0] < 0.5) & (p[1] < 0.5)
             columns = {k: batch.column(k) for k in batch.schema.names}
-            yield pa.RecordBatch.from_pydict(columns | {"low_quality": pa.array(p[0]), "toxic": pa.array(p[1]), "kept": pa.array(kept)})
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_pydict(columns | dict(zip(names, (pa.array(p[0]), pa.array(p[1]), pa.array(kept)))))
 
-    clash = [c for c in docs.columns if c in ("low_quality", "toxic", "kept")]
-    base = docs.drop(*clash)
-    more = [T.StructField("low_quality", T.DoubleType()), T.StructField("toxic", T.DoubleType()), T.StructField("kept", T.BooleanType())]
+    base = docs.drop(*[c for c in docs.columns if c.lower() in [x.lower() for x in names]])
+    more = [T.StructField(c, t) for c, t in zip(names, (T.DoubleType(), T.DoubleType(), T.BooleanType()))]
     return base.mapInArrow(kernel, T.StructType([*base.schema.fields, *more]))
 
 
-def classify(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
-    return score(docs, fit(docs, labels, **bounds))
+def classify(docs: DataFrame, labels: DataFrame, prefix: str = "", **bounds) -> DataFrame:
+    """``score`` by a model that ``fit`` makes of the same documents and their ``labels(doc_id, toxic)``."""
+    return score(docs, fit(docs, labels, **bounds), prefix)

@@ -21,7 +21,8 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import bitmap, in_bitmap, materialize
+from . import tokens as K
+from .common import bitmap, discard, in_bitmap, materialize, settle
 
 WIDTH, K_BYTES, SHALLOW = 100, 32, 16
 #: Anchors with at least this many occurrences, and a 100,000th of all, are split into single strings: 100,000 at most.
@@ -93,8 +94,6 @@ def deep_shallow(buf: np.ndarray, starts: np.ndarray, group: np.ndarray, width:
 
 def _segments(column, width: int, k: int):
     """Per block: bytes, rows, anchor hashes, first string start, strings, anchor offset (all within the block)."""
-    from siglume.llm import tokens as K
-
     powers = K.Powers()
     raw, offsets = K.buffers(column)
     span = width - k + 1
@@ -164,8 +163,6 @@ def repeats(docs: DataFrame, width: int = WIDTH, k: int = K_BYTES) -> DataFrame:
     def emit(batches):
         import pyarrow as pa
 
-        from siglume.llm import tokens as K
-
         table, often = sent.value
         for batch in batches:
             parts = []
