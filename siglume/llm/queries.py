@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -43,7 +44,8 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.replace(table(spark, sf_dir, "documents"))
+    # a secret of the session where one is set; else a fresh one, so that nobody can undo the surrogates
+    out = pii.replace(table(spark, sf_dir, "documents"), spark.conf.get("siglume.pii.key", None) or secrets.token_hex(32))
     kinds = F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"])))
     return out.select("doc_id", "text", "n_entities", F.array_join(kinds, ",").alias("kinds"), F.array_join(F.transform("entities", lambda e: e["surrogate"]), "\n").alias("surrogates"))
 

@@ -281,17 +281,18 @@ def test_pii(spark):
             s = pii.surrogate(kind, e, key)
             assert s != e and len(re.sub(r"[0-9]+", "0", s)) >= 1
             assert re.sub(r"[A-Za-z0-9]", "", s) == re.sub(r"[A-Za-z0-9]", "", e)
+            assert kind != "email" or s.split("@")[1] != e.split("@")[1]
             seen.setdefault(kind, {})[e] = s
     for m in seen.values():
         assert len(set(m.values())) == len(m)
     rows = [(1, "Mail jo.1@a.example.com, call +1 (407) 555-7710. Mrs Ada Byron and Mr Ivan Petrov."), (2, "JO.1@a.example.com and jo.1@a.example.com; Mrs Ada Byron, Frau Анна Иванова"), (3, None), (4, ""), (1, "nothing here 12")]
-    got = pii.replace(spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, entities string")).collect()
+    got = pii.replace(spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, entities string"), "k").collect()
     by = {(r.doc_id, i): r for i, r in enumerate(sorted(got, key=lambda r: (r.doc_id, -(r.n_entities or 0))))}
     a, b = (next(r for r in got if r.doc_id == d and r.n_entities) for d in (1, 2))
     mail = [e.surrogate for e in a.entities if e.kind == "email"] + [e.surrogate for e in b.entities if e.kind == "email"]
     assert len(by) == 5 and len({m.lower() for m in mail}) == 1
     names = [e.surrogate for r in (a, b) for e in r.entities if e.kind == "name"]
-    assert len(set(names)) == 3 and "Ada Byron" not in a.text and "Анна Иванова" not in b.text
+    assert len(set(names)) == 3 and not re.search("Ada|Byron|Ivan|Petrov", a.text + b.text) and not re.search("Анна|Иванова", b.text)
     assert next(r for r in got if r.doc_id == 3).text is None and next(r for r in got if r.doc_id == 4).text == ""
 
 
@@ -333,12 +334,71 @@ def test_classifier(spark):
     assert quality_classifier.classify(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
 
-def test_pii_many_names(spark):
-    """More names than are broadcast: the same surrogates by shuffle."""
-    rows = [(1, "Mrs Ada Byron and Mr Ivan Petrov."), (2, "Mrs Ada Byron, Frau Анна Иванова, Mr. Ada Byron; jo.1@a.example.com"), (2, "Mr Ivan Petrov."), (2, "Mr Ivan Petrov."), (None, "Mr  nobody"), (3, None), (4, "none")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    few, many = (sorted(map(repr, pii.replace(docs, max_names=n).collect())) for n in (200_000, 1))
-    assert few == many and len(few) == len(rows)
+def _pii(spark, *texts, key="k"):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return [r.text for r in sorted(pii.replace(docs, key).collect(), key=lambda r: r.doc_id)]
+
+
+def test_pii_names(spark):
+    """Whole names, later mentions, word counts, gender, verbs that follow, other scripts, nulls, empties and repeats."""
+    texts = [
+        "Frau Anna kam. Anna ging. Mr John Smith met John Smith.", "Mrs Smith saw Mr SMITH and Ms Anna Smith-Jones; smith is a trade, Smithy too.", None, "", "Anna and Smith have no title here",
+        "Señora J. Lopez rió. Lopez habló.", "господин Петров сказал, Петров ушёл; госпожа Вера Петрова", "Mrs אדה ביירון אמרה", "Mr Smith said. Mr Smith went.", "Mr Smith said. Mr Smith went.", "Mr 李小龙 came, Mr Αλέξης too",
+    ]
+    got = _pii(spark, *texts)
+    m = re.fullmatch(r"Frau (\w+) kam\. \1 ging\. Mr (\w+) (\w+) met \2 \3\.", got[0])
+    anna, john, smith = m.groups()
+    real = {w.casefold() for t in texts if t for w in re.findall(r"\w+", t)}
+    assert len({anna, john, smith}) == 3 and not {w.casefold() for w in (anna, john, smith)} & real
+    m = re.fullmatch(rf"Mrs {smith} saw Mr {smith.upper()} and Ms {anna} {smith}-(\w+); smith is a trade, Smithy too\.", got[1])
+    assert m and got[2:5] == [None, "", texts[4]]
+    assert (m2 := re.fullmatch(r"Señora ([A-Z])\. (\w+) rió\. \2 habló\.", got[5])) and m2[1] != "J"
+    assert (m3 := re.fullmatch(r"господин (\w+) сказал, \1 ушёл; госпожа (\w+) (\w+)", got[6])) and len(set(m3.groups())) == 3 and all("а" <= c.lower() <= "я" for w in m3.groups() for c in w)
+    assert re.fullmatch(r"Mrs [א-ת]+ [א-ת]+ אמרה", got[7]) and "אדה" not in got[7]
+    assert got[8] == got[9] == f"Mr {smith} said. Mr {smith} went."
+    assert re.fullmatch(r"Mr [一-龥]{3} came, Mr [Α-ω]+ too", got[10]) and "李" not in got[10]
+    assert _pii(spark, *texts) == got and _pii(spark, *texts, key="other")[0] != got[0]
+    assert pii.replace(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
+    with pytest.raises(ValueError):
+        pii.replace(spark.createDataFrame([], "doc_id long, text string"), "")
+
+
+def test_pii_surrogates_are_no_real_names(spark):
+    """Name words that the generator itself would give first: they are made anew, and all stay distinct."""
+    first = [pii.made_name(k, "latin", "family", "m", 5).capitalize() for k in range(40)]
+    got = _pii(spark, *[f"Mr {n} came" for n in first])
+    new = [re.fullmatch(r"Mr (\w+) came", t)[1] for t in got]
+    assert len(set(new)) == 40 and not set(new) & set(first)
+
+
+def test_pii_classes_of_names_never_meet():
+    classes = [(s, r, g) for s in (*pii.SYLLABLES, "han", "hebrew") for r in ("given", "family") for g in "fm"]
+    made = [pii.made_name(k, *c, 2) for c in classes for k in [*range(300), *range(4000, 4600)]]
+    assert len(set(made)) == len(made)
+
+
+def test_pii_check_digits():
+    def luhn(c):
+        d = [int(x) for x in c if x.isdigit()][::-1]
+        return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
+
+    def mod97(c):
+        return int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1
+
+    key, cards, ibans = b"k" * 32, {}, {}
+    for i in range(2000):
+        c = f"4{i * 7919 % 10**14:014d}"
+        c = f"{c[:4]} {c[4:8]}-{c[8:]}{i % 10}"
+        s = pii.surrogate("card", c, key)
+        assert luhn(s) == luhn(c) and s != c and re.sub("[0-9]", "0", s) == re.sub("[0-9]", "0", c)
+        cards[c] = s
+        body = f"{i % 40:04d}{i // 40:02d}X"
+        for check in {f"{98 - int(''.join(str(int(x, 36)) for x in body + 'DE00')) % 97:02d}", f"{i % 97 + 2:02d}"}:  # check digits are 02 to 98
+            b = f"DE{check}{body}ABCDE"
+            s = pii.surrogate("iban", b, key)
+            assert mod97(s) == mod97(b) and s != b and s[:2] == "DE"
+            ibans[b] = s
+    assert len(set(cards.values())) == len(cards) and len(set(ibans.values())) == len(ibans)
 
 
 @pytest.mark.parametrize("kind, text", [
@@ -357,7 +417,7 @@ def test_pii_name_before_verbs(spark):
 
     assert found("Mr Smith said so. Mr Smith went, Mr Smith, Mr Smith Jones ran") == [("name", "Smith")] * 3 + [("name", "Smith Jones")]
     assert found("Mr Smith jo.1@a.example.com, господин Петров сказал, Mrs אדה ביירון") == [("name", "Smith"), ("email", "jo.1@a.example.com"), ("name", "Петров"), ("name", "אדה ביירון")]
-    got = pii.replace(spark.createDataFrame([(1, "Mr Smith said so. Mr Smith went, Mr Smith")], "doc_id long, text string")).first()
+    got = pii.replace(spark.createDataFrame([(1, "Mr Smith said so. Mr Smith went, Mr Smith")], "doc_id long, text string"), "k").first()
     assert len({e.surrogate for e in got.entities}) == 1 and re.fullmatch(r"Mr (\w+) said so\. Mr \1 went, Mr \1", got.text)
 
 
