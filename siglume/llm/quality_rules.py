@@ -152,8 +152,13 @@ def _cut(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
     return count.select(*keys, "bin", upto.alias("upto"), whole.alias("whole")).where(F.col("upto") >= share * F.col("whole")).groupBy(*keys).agg(F.min("bin").alias("cut"))
 
 
-def robust_estimates(rows: DataFrame, keys: list[str], floors=FLOORS, steps: int = STEPS, support: float = SUPPORT) -> DataFrame:
-    """``keys, mean, prec`` by minimum covariance determinant over ``rows(keys, x)``."""
+#: Group tables of up to this many rows (about 400 bytes each, two starts) are broadcast to the rows, larger ones joined by shuffle.
+GROUPS = 8_000
+
+
+def robust_estimates(rows: DataFrame, keys: list[str], floors=FLOORS, steps: int = STEPS, support: float = SUPPORT, groups: int = GROUPS + 1) -> DataFrame:
+    """``keys, mean, prec`` by minimum covariance determinant over ``rows(keys, x)`` with ``groups`` keys."""
+    hint = F.broadcast if groups <= GROUPS else (lambda x: x)
     d = len(DIMS)
     middle = rows.groupBy(*keys).agg(*[F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(d)])
     spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(floors[i])) for i in range(d)]
@@ -165,14 +170,14 @@ def robust_estimates(rows: DataFrame, keys: list[str], floors=FLOORS, steps: int
     fit = materialize(by_quartile.unionByName(by_moment), "mcd")
     k2 = [*keys, "start"]
     for _ in range(steps):
-        far = rows.join(fit, keys).withColumn("d2", _distance())
-        half = far.join(_cut(far, k2, support), k2).where(_bin(F.col("d2")) <= F.col("cut"))
+        far = rows.join(hint(fit), keys).withColumn("d2", _distance())
+        half = far.join(hint(_cut(far, k2, support)), k2).where(_bin(F.col("d2")) <= F.col("cut"))
         fit = materialize(_estimates(half, k2, floors), "mcd")
     best = fit.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy("logdet", "start"))).where("r = 1").drop("r", "start")
     # consistency: scale so that the median distance is the chi-square median, then reweight once
-    far = rows.join(best, keys).withColumn("d2", _distance())
+    far = rows.join(hint(best), keys).withColumn("d2", _distance())
     scale = _cut(far, keys, 0.5).select(*keys, F.greatest(F.pow(F.lit(2.0), (F.col("cut") + 0.5) / BINS) / _chi2(0.5, d), F.lit(1.0)).alias("scale"))
-    near = far.join(scale, keys).where(F.col("d2") <= F.col("scale") * _chi2(0.99, d))
+    near = far.join(hint(scale), keys).where(F.col("d2") <= F.col("scale") * _chi2(0.99, d))
     return materialize(_estimates(near, keys, floors).drop("logdet"), "mcd")
 
 
@@ -201,10 +206,12 @@ def rate(docs: DataFrame, tail: float = TAIL, least: int = LEAST) -> DataFrame:
         F.struct(F.col("g_lang").alias("a"), F.col("g_source").alias("b")), F.struct(F.col("g_lang").alias("a"), F.lit("\0\0").alias("b")), F.struct(F.lit("\0\0").alias("a"), F.lit("\0\0").alias("b")),
     ))).select("g_lang", "g_source", "at.a", "at.b")
     levels = materialize(levels.join(needed, ["a", "b"], "left_semi"), "rules-levels")
-    good = good.join(levels, ["g_lang", "g_source"]).select("a", "b", "x")
-    fit = robust_estimates(good, ["a", "b"])
+    groups = levels.count()
+    hint = F.broadcast if groups <= GROUPS else (lambda x: x)
+    good = good.join(hint(levels), ["g_lang", "g_source"]).select("a", "b", "x")
+    fit = robust_estimates(good, ["a", "b"], groups=groups)
     fit = sizes.join(fit, ["a", "b"]).select("g_lang", "g_source", "mean", "prec")
-    out = rows.join(fit, ["g_lang", "g_source"], "left").withColumn("distance", F.when(~F.col("base_failed") & F.col("mean").isNotNull(), _distance()))
+    out = rows.join(hint(fit), ["g_lang", "g_source"], "left").withColumn("distance", F.when(~F.col("base_failed") & F.col("mean").isNotNull(), _distance()))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= _chi2(1 - tail, len(DIMS)))).alias("kept"), "distance", "lang", "source",

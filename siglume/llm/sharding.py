@@ -1,7 +1,8 @@
 """Vector bin packing of documents into shards.
 
-Groups (equal texts) are vectors of bytes, tokens and rows. Each group goes where the dot product of
-its vector with the shards' residual capacity is highest. Groups under ``1 / (shards * grain)`` of all
+Groups (equal texts) are vectors of bytes, tokens (words between ASCII white space) and rows. Each group goes where the
+dot product of its vector with the shards' residual capacity is highest, among the shards that have room for it in all
+three. Groups under ``1 / (shards * grain)`` of all
 bytes are first merged by hash into ``cells`` cells, so the sequential part sees a bounded number of
 vectors (``shards * grain * 9 + cells`` at most) however many documents there are; a group above an
 eighth of a shard is placed in pieces, since one group may hold a third of all rows.
@@ -20,7 +21,7 @@ PIECE = 8  # a piece of a large group is at most this part of a shard
 def place(vectors: np.ndarray, shards: int, weights=(2.0, 1.0, 1.0)) -> np.ndarray:
     """Shard of each vector (rows of ``vectors``): largest first, highest dot product with the residual.
 
-    Shards whose byte residual can't take the vector only count when no shard can.
+    Shards that can't take the vector in all its parts only count when none can: then the one with most room left in bytes.
     """
     total = np.maximum(vectors.sum(axis=0), 1e-12)
     v = vectors / total
@@ -29,7 +30,7 @@ def place(vectors: np.ndarray, shards: int, weights=(2.0, 1.0, 1.0)) -> np.ndarr
     out = np.zeros(len(v), dtype=np.int64)
     for i in np.argsort(-v[:, 0], kind="stable"):
         gain = residual @ (w * v[i])
-        fits = residual[:, 0] >= v[i, 0]
+        fits = (residual >= v[i]).all(axis=1)
         out[i] = b = int(np.argmax(np.where(fits, gain, -np.inf) if fits.any() else residual[:, 0]))
         residual[b] -= v[i]
     return out
@@ -43,7 +44,7 @@ def pack(docs: DataFrame, shards: int = 16, cells: int = 16384, grain: int = 64)
     """One row per input row: ``doc_id, size, text_crc32, tokens, shard, slot``.
 
     ``size`` is the UTF-8 bytes of the text plus 1 (null text: 1, crc of the empty text). Slots count
-    from 0 without gaps in each shard, in no meaningful order. Repeated rows and null ids keep their
+    from 0 without gaps in each shard, in no meaningful order. ``tokens`` counts words. Repeated rows and null ids keep their
     rows; an empty table gives an empty result; other columns are ignored. Law: bytes.
     """
     spark = docs.sparkSession
@@ -53,7 +54,7 @@ def pack(docs: DataFrame, shards: int = 16, cells: int = 16384, grain: int = 64)
             "doc_id",
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            (F.length(text) - F.length(F.replace(text, F.lit(" "))) + 1).cast("long").alias("tokens"),
+            F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"),
             F.xxhash64("text").alias("g"),
             F.xxhash64(F.lit(17), "text").alias("g2"),
         ),

@@ -5,12 +5,12 @@ its content alone decides. Runs of strings with one anchor are a segment of text
 anchor hashes; a bitmap of those seen twice lets a second pass emit only segments that can repeat. Segments are
 dealt by anchor hash, so that equal strings meet in one task, at the same offset from their anchors. There the
 suffixes of the segments are sorted, up to ``width`` bytes: multikey quicksort on 8-byte characters to a shallow
-depth, then blind tries (compacted tries that compare a group with one member, and branch on the first byte in
-which they differ) for groups that still share a long prefix. Of the suffixes in a leaf of full depth, the
+depth, then blind tries (compacted tries, built level by level for all groups at once: a node compares its members with
+one of them, skips to the first byte in which any differs and branches there alone) for groups that still share a long prefix. Of the suffixes in a leaf of full depth, the
 earliest stays.
 
-Equal segments are combined before the shuffle (all but the earliest of a batch are repeats whatever the
-others say), and anchors seen very often are emitted string by string under keys of their own, so copies and
+Segments of equal hashes are combined before the shuffle and before the sort where their bytes are equal too (all but
+the earliest are repeats whatever the others say), so hashes only bring strings together and never decide. Anchors seen very often are emitted string by string under keys of their own, so copies and
 common passages spread over the tasks.
 """
 
@@ -25,7 +25,7 @@ from . import tokens as K
 from .common import bitmap, discard, in_bitmap, materialize, settle
 
 WIDTH, K_BYTES, SHALLOW = 100, 32, 16
-#: Anchors with at least this many occurrences, and a 100,000th of all, are split into single strings: 100,000 at most.
+#: Anchors with at least this many occurrences are split into single strings under keys of their own, at any size of the input.
 HOT = 4096
 #: Strings that one sort holds (beyond one anchor's own).
 SORTED_AT_ONCE = 200_000
@@ -156,9 +156,8 @@ def repeats(docs: DataFrame, width: int = WIDTH, k: int = K_BYTES) -> DataFrame:
 
     seen = docs.select("text").mapInArrow(count_anchors, "ah long, n long").groupBy("ah").agg(F.sum("n").alias("n"))
     seen = materialize(seen.where("n > 1"), "suffix-anchors")
-    total = seen.agg(F.sum("n")).first()[0] or 0
-    hot = np.sort(np.array([r["ah"] for r in seen.where(F.col("n") >= max(HOT, total // 100_000)).select("ah").collect()], dtype=np.int64))
-    sent = spark.sparkContext.broadcast((bitmap(seen, "ah"), hot))
+    # of often-seen anchors a bitmap too: another anchor that shares a bit is split as well, everywhere alike
+    sent = spark.sparkContext.broadcast((bitmap(seen, "ah"), bitmap(seen.where(F.col("n") >= HOT), "ah")))
 
     def emit(batches):
         import pyarrow as pa
@@ -170,9 +169,8 @@ def repeats(docs: DataFrame, width: int = WIDTH, k: int = K_BYTES) -> DataFrame:
             for lo, buf, off, cum, powers, doc, ah, a, count, shift in _segments(batch.column("text"), width, k):
                 live = in_bitmap(table, ah)
                 doc, ah, a, count, shift = (x[live] for x in (doc, ah, a, count, shift))
-                if len(often) and len(ah):
-                    place = np.minimum(np.searchsorted(often, ah.view(np.int64)), len(often) - 1)
-                    split = often[place] == ah.view(np.int64)
+                if len(ah):
+                    split = in_bitmap(often, ah)
                     if split.any():
                         # one string a row, under a key of its own content
                         reps = np.where(split, count, 1)
@@ -193,13 +191,16 @@ def repeats(docs: DataFrame, width: int = WIDTH, k: int = K_BYTES) -> DataFrame:
                 same[1:] &= x[by[1:]] == x[by[:-1]]
             lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))
             lead = by[lead]
+            block = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+            local = np.concatenate([p[6][1] for p in parts])
+            content = lambda i: parts[block[i]][6][0][local[i] : local[i] + count[i] + width - 1].tobytes()
+            for j in np.flatnonzero(same):  # equal hashes count only with equal bytes
+                same[j] = content(by[j]) == content(lead[j])
             twin = (d[row[by]] == d[row[lead]]) & (th[row[by]] == th[row[lead]]) & (a[by] == a[lead])
             gone = by[same & ~twin]
             rows, lo_, hi_ = _merge(row[gone], a[gone], a[gone] + count[gone] + width - 1)
             kept = np.sort(by[~same])
-            block = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-            local = np.concatenate([p[6][1] for p in parts])
-            texts = [parts[block[i]][6][0][local[i] : local[i] + count[i] + width - 1].tobytes() for i in kept]
+            texts = [content(i) for i in kept]
             m, g = len(rows), len(kept)
             take = lambda x: pa.array(np.concatenate([x[rows], x[row[kept]]]))
             yield pa.RecordBatch.from_pydict({
@@ -211,12 +212,15 @@ def repeats(docs: DataFrame, width: int = WIDTH, k: int = K_BYTES) -> DataFrame:
 
     found = docs.select("d", "th", "text").mapInArrow(emit, "d long, th long, a long, b long, ah long, sh long, count int, shift int, seg binary")
     found = materialize(found, "suffix-segments")
+    discard(seen, sent)
+    settle(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ("ah", "sh", "count", "shift", "d", "th", "a")
     dealt = found.where("b < 0").drop("b").repartition(parts, "ah").sortWithinPartitions(*order)
 
     def sort(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         held: list = []  # segments of anchors not yet sorted: one row for each content
 
@@ -254,7 +258,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, k: int = K_BYTES) -> DataFrame:
         def ranges(d, th, lo, hi):
             return pa.RecordBatch.from_pydict({"d": pa.array(d), "th": pa.array(th), "a": pa.array(lo), "b": pa.array(hi)})
 
-        last = None
+        last, bytes_of_last = None, b""
         strings = 0
         for batch in batches:
             ah, sh, count, shift, d, th, a = (batch.column(c).to_numpy() for c in ("ah", "sh", "count", "shift", "d", "th", "a"))
@@ -264,14 +268,23 @@ def repeats(docs: DataFrame, width: int = WIDTH, k: int = K_BYTES) -> DataFrame:
                 same[:1] &= last is not None and x[0] == last[i]
             # the earliest of each content leads; the others are repeats in full, but for the same place seen twice
             lead = np.maximum.accumulate(np.where(same, -1, np.arange(len(ah))))
+            seg = batch.column("seg")
+            again = np.flatnonzero(same)
+            if len(again):  # equal hashes count only with equal bytes
+                model = lead[again]
+                inside, equal = model >= 0, np.ones(len(again), dtype=bool)
+                equal[inside] = pc.equal(seg.take(pa.array(again[inside])), seg.take(pa.array(model[inside]))).to_numpy(zero_copy_only=False)
+                if not inside.all():
+                    equal[~inside] = pc.equal(seg.take(pa.array(again[~inside])), pa.scalar(bytes_of_last, seg.type)).to_numpy(zero_copy_only=False)
+                same[again[~equal]] = False
             of = lambda x, j: np.where(lead >= 0, x[np.maximum(lead, 0)], last[j] if last else 0)
             later = same & ~((d == of(d, 4)) & (th == of(th, 5)) & (a == of(a, 6)))
             if later.any():
                 yield ranges(d[later], th[later], a[later], a[later] + count[later] + width - 1)
             new = np.flatnonzero(~same)
             if len(new):
-                seg = batch.column("seg")
                 i = new[-1]
+                bytes_of_last = seg[int(i)].as_py()
                 last = (ah[i], sh[i], count[i], shift[i], d[i], th[i], a[i])
                 held.append((ah[new], d[new], th[new], a[new], count[new], shift[new], sh[new], [seg[int(j)].as_py() for j in new]))
                 strings += int(count[new].sum())
@@ -289,7 +302,10 @@ def repeats(docs: DataFrame, width: int = WIDTH, k: int = K_BYTES) -> DataFrame:
             yield ranges(*out)
 
     sorted_out = dealt.mapInArrow(sort, "d long, th long, a long, b long")
-    return found.where("b >= 0").select("d", "th", "a", "b").unionByName(sorted_out)
+    out = materialize(found.where("b >= 0").select("d", "th", "a", "b").unionByName(sorted_out), "suffix-ranges")
+    discard(found)
+    settle(spark)
+    return out
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFrame:
@@ -298,8 +314,11 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, with_text: bool = True
 
     A byte goes if a ``width``-byte string over it also starts earlier: in a document of smaller doc_id (null
     first; equal ids by text hash), or in the same document further left. Null counts as empty. Rows with the
-    same doc_id and text are one document seen twice and come out alike. Extra columns are ignored.
+    same doc_id and text are one document seen twice and come out alike. Extra columns are ignored. ``doc_id`` is of an
+    integer type, any other raises ``TypeError``.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id isn't of an integer type")
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "th": F.xxhash64("text")})
     ranges = repeats(base, width).groupBy(F.col("d").alias("_d"), F.col("th").alias("_t")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))

@@ -36,16 +36,22 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_tail(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def normalised(url: Column) -> Column:
-    """Scheme-free form: lower-case host, path without a trailing slash, query without tracking keys, no fragment."""
+def plain(url: Column) -> Column:
+    """Scheme-free form: lower-case host, path as it stands (rules tell ``/en`` from ``/en/``), query without tracking keys, no
+    fragment."""
     tail = _tail(F.trim(url))
     query = F.regexp_extract(tail, r"^[^?#]*\?([^#]*)", 1)
     query = F.regexp_replace(F.concat(F.lit("&"), query), r"&(utm_[a-z]+|gclid|fbclid)=[^&]*", "")
     query = F.regexp_replace(query, r"^&+", "")
-    path = F.regexp_replace(path_of(F.trim(url)), r"/+$", "")
+    path = path_of(F.trim(url))
     return F.when(tail.isNotNull(), F.concat(host_of(F.trim(url)), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
+def normalised(url: Column) -> Column:
+    """``plain`` without a slash at the path's end: the node of a url among its equivalents."""
+    return F.regexp_replace(plain(url), r"^([^?]*?)/+(\?|$)", "$1$2")
+
+
 def _without_dots(path: Column) -> Column:
     """``path`` with its ``.`` and ``..`` segments resolved; ``..`` never leaves the root."""
     step = lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(s)))
@@ -96,8 +102,8 @@ def with_rule(df: DataFrame, rules=RULES, host: str = "host", path: str = "path"
 
 
 def declared_edges(pages: DataFrame) -> DataFrame:
-    """``(u, v)``: normalised URL and the target of its canonical link or of its meta refresh, relative ones seen from the
-    page's url or its ``<base>``."""
+    """``(u, v, u_at, v_at)``: normalised and plain form of a page's url and of the target of its canonical link or of its meta
+    refresh, relative ones seen from the page's url or its ``<base>``."""
     base = F.regexp_extract("html", r"""(?i)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
     link = F.regexp_extract("html", r"""(?i)<link\b[^>]*?\brel\s*=\s*["']?canonical["']?[^>]*>""", 0)
     refresh = F.regexp_extract("html", r"""(?i)<meta\b[^>]*?http-equiv\s*=\s*["']?refresh["']?[^>]*>""", 0)
@@ -106,7 +112,8 @@ def declared_edges(pages: DataFrame) -> DataFrame:
     return (
         pages.select("url", base.alias("base"), F.explode(F.array(canonical, redirect)).alias("to")).where("to <> ''")
         .withColumn("base", F.when(F.col("base") != "", resolved(F.col("base"), F.col("url"))).otherwise(F.col("url")))
-        .select(normalised(F.col("url")).alias("u"), normalised(resolved(F.col("to"), F.col("base"))).alias("v")).where("u is not null and v is not null and u <> v")
+        .withColumn("to", resolved(F.col("to"), F.col("base")))
+        .select(normalised(F.col("url")).alias("u"), normalised(F.col("to")).alias("v"), plain(F.col("url")).alias("u_at"), plain(F.col("to")).alias("v_at")).where("u is not null and v is not null and u <> v")
     )
 
 
@@ -119,17 +126,19 @@ def judge(pages: DataFrame, rules=RULES, edges: DataFrame | None = None) -> Data
     """
     links = declared_edges(pages)
     if edges is not None:
-        links = links.unionByName(edges.select("u", "v"))
+        links = links.unionByName(edges.select("u", "v", F.col("u").alias("u_at"), F.col("v").alias("v_at")))
     rows = with_rule(pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), rules)
     links = materialize(links, "url-edges")
     if links.isEmpty():
         return rows.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"), F.lit(False).alias("via_alias"))
     home = connected_components(links)
-    # every member URL of a class is judged by the rules, then the class takes allow before block
-    url = F.concat(F.lit("http://"), F.col("node"))
-    judged = with_rule(home.select("node", "root", host_of(url).alias("host"), F.concat(path_of(url), F.lit("/")).alias("path")), rules)
-    decided = judged.groupBy("root").agg(F.min("rule_verdict").alias("class_verdict"))  # 'allow' sorts before 'block'
-    decided = home.join(decided, "root").where("class_verdict is not null").select("node", "class_verdict")
+    # every url that was declared is judged as it stands, then the class takes allow before block
+    members = links.select(F.col("u").alias("node"), F.col("u_at").alias("at")).unionByName(links.select(F.col("v").alias("node"), F.col("v_at").alias("at"))).distinct()
+    url = F.concat(F.lit("http://"), F.col("at"))
+    judged = with_rule(members.select("node", host_of(url).alias("host"), path_of(url).alias("path")), rules).where("rule_verdict is not null")
+    own = judged.groupBy("node").agg(F.min("rule_verdict").alias("rule_verdict"))  # 'allow' sorts before 'block'
+    decided = home.join(own, "node").groupBy("root").agg(F.min("rule_verdict").alias("class_verdict"))
+    decided = home.join(decided, "root").select("node", "class_verdict")
     return rows.withColumn("node", normalised(F.col("url"))).join(decided, "node", "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("rule_verdict", "class_verdict", F.lit("allow")).alias("verdict"),

@@ -445,3 +445,99 @@ def test_relative_targets(spark):
     rows = [(1, "http://b.example.com/x/a", canonical % "../de/page"), (2, "http://b.example.com/x/b", refresh % "/de/page"), (3, "http://alias.info/p", canonical % "//a.net/q"), (4, "http://alias.info/r", refresh % "p"), (5, "http://other.info/r", '<base href="//a.net/en/">' + canonical % "r"), (6, "http://other.info/s", canonical % "#top"), (7, None, canonical % "/x")]
     got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow"}
+
+
+def test_substrings_with_colliding_hashes(spark, docs, texts, monkeypatch):
+    """Bytes decide, not hashes: with segment hashes that all collide the result is the same."""
+    want = sorted(suffix_dedup.dedup_substrings(docs).collect(), key=lambda r: r.doc_id)
+    true = suffix_dedup.K.span_hash
+    monkeypatch.setattr(suffix_dedup.K, "span_hash", lambda cum, a, b, powers: true(cum, a, b, powers) & 1)
+    assert sorted(suffix_dedup.dedup_substrings(docs).collect(), key=lambda r: r.doc_id) == want
+    with pytest.raises(TypeError):
+        suffix_dedup.dedup_substrings(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_aliases(spark):
+    """Chains, cycles, an allow against a block, relative links, and paths that differ in a slash alone."""
+    page = lambda url, to: (url, f'<link rel="canonical" href="{to}">' if to else "")
+    cases = [
+        (page("http://one.org/a", "http://two.org/b"), "block"), (page("http://two.org/b", "http://x.net/c"), "block"),  # a chain to a blocked one
+        (page("http://c1.org/", "http://c2.org/"), "allow"), (page("http://c2.org/", "http://c1.org/"), "allow"),  # a cycle without a rule
+        (page("http://d.org/p", "http://d.net/p"), "allow"), (page("http://d.net/p", "http://sub.org/fr/p"), "block"), (page("http://sub.org/fr/p", ""), "allow"),  # allow wins for aliases, own rules stay
+        (page("http://e.example.com/q/x", "../de/y"), "block"), (page("http://e.example.com/de/y", ""), "block"),  # relative
+        (page("http://alias.org/s", "http://example.net/en"), "block"), (page("http://example.net/en", ""), "block"), (page("http://example.net/en/", ""), "allow"),
+        (page("http://lone.org", "#top"), "allow"),
+    ]
+    check_aliases(spark, cases)
+    check_aliases(spark, [(page("http://alias.org/t", "http://example.net/en/"), "allow"), (page("http://example.net/en", ""), "block")])
+
+
+def check_aliases(spark, cases):
+    rows = [(i, *p) for i, (p, _) in enumerate(cases)]
+    got = url_filter.judge(spark.createDataFrame([(*r, "clash", "v") for r in rows], "page_id long, url string, html string, node string, u string"))
+    assert {r.page_id: r.verdict for r in got.collect()} == {i: v for i, (_, v) in enumerate(cases)}
+
+
+def test_packing_has_room_in_all_parts():
+    import numpy as np
+
+    g = np.random.default_rng(5)
+    v = g.random((400, 3)) ** 3
+    v[:40] *= 6
+    home = sharding.place(v, 8)
+    part = v / v.sum(axis=0)
+    load = np.stack([np.bincount(home, weights=part[:, k], minlength=8) for k in range(3)], axis=1)
+    assert load.max() < 1.1 / 8 and load.min() > 0.9 / 8
+    same = sharding.place(np.ones((64, 3)), 8)  # ties
+    assert (np.bincount(same, minlength=8) == 8).all()
+
+
+def test_tokens_are_words(spark, docs, texts):
+    got = {r.doc_id: r.tokens for r in sharding.pack(docs, shards=4).collect()}
+    assert got == {i: len(WS.findall(t or "")) for i, t in enumerate(texts)}
+
+
+def test_outliers_against_plain_estimates(spark):
+    """The grouped sums against the same estimate on plain arrays, with ties, repeated rows and a constant group."""
+    import math
+
+    import numpy as np
+
+    r = random.Random(2)
+    rows = []
+    for k in range(700):
+        w = [r.choice(VOCAB) for _ in range(r.randint(60, 400))]
+        for _ in range(r.choice([0, 0, 0, 1, 3, 30])):
+            w[r.randrange(len(w))] = "##" + "x" * r.randint(1, 30)
+        if k % 50 == 7:
+            w = [x + "###$$$" for x in w]
+        lines = [" ".join(w[i : i + 12]) for i in range(0, len(w), 12)]
+        rows.append((k, "\n".join(lines + lines[: r.choice([0, 0, 0, 0, 2])]), "en" if k % 3 else "da", "s"))
+    rows += [rows[5]] * 3 + [(2000 + k, rows[9][1], "fr", "same") for k in range(150)]
+    got = quality_rules.rate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    good = [x for x in got if not x.base_failed]
+    assert len(got) == len(rows) and any(not x.kept for x in good)
+    d, floors = 5, np.array(quality_rules.FLOORS)
+    vec = lambda x: [math.log(x.n_words), math.log(x.word_chars / x.n_words), math.sqrt(x.n_symbols / x.word_chars), math.sqrt(min(1, x.n_dup_lines / x.n_words * 10)), math.sqrt(x.n_repeat_words / x.n_words)]
+    for lang in ("en", "da", "fr"):
+        mine = [x for x in good if x.lang == lang]
+        v = np.array([vec(x) for x in mine])
+
+        def estimate(part):
+            cov = part.T @ part / len(part) - np.outer(part.mean(0), part.mean(0))
+            cov[np.diag_indices(d)] = np.maximum(np.diag(cov), 0) + floors**2
+            return part.mean(0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+        far = lambda fit: np.einsum("ij,jk,ik->i", v - fit[0], fit[1], v - fit[0])
+        bins = lambda d2: np.floor(np.log2(d2 + 1e-6) * quality_rules.BINS)
+        cut = lambda d2, share: np.sort(bins(d2))[math.ceil(share * len(d2)) - 1]
+        q = np.quantile(v, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+        fits = [(q[1], np.diag(1 / np.maximum((q[2] - q[0]) / 1.349, floors) ** 2), 0.0), estimate(v)]
+        for _ in range(quality_rules.STEPS):
+            fits = [estimate(v[bins(d2) <= cut(d2, quality_rules.SUPPORT)]) for d2 in map(far, fits)]
+        best = min(fits, key=lambda f: f[2])
+        d2 = far(best)
+        scale = max(2 ** ((cut(d2, 0.5) + 0.5) / quality_rules.BINS) / quality_rules._chi2(0.5, d), 1.0)
+        want = far(estimate(v[d2 <= scale * quality_rules._chi2(0.99, d)]))
+        assert [x.distance for x in mine] == pytest.approx(want.tolist(), rel=1e-6, abs=1e-9)
+        assert [x.kept for x in mine] == (want <= quality_rules._chi2(1 - quality_rules.TAIL, d)).tolist()
