@@ -21,17 +21,17 @@ PIECE = 8  # a piece of a large group is at most this part of a shard
 def place(vectors: np.ndarray, shards: int, weights=(2.0, 1.0, 1.0)) -> np.ndarray:
     """Shard of each vector (rows of ``vectors``): largest first, highest dot product with the residual.
 
-    Shards that can't take the vector in all its parts only count when none can: then the one with most room left in bytes.
+    Shards that can't take the vector in all its parts only count when none can: then the one that it overfills least.
     """
     total = np.maximum(vectors.sum(axis=0), 1e-12)
     v = vectors / total
     residual = np.full((shards, v.shape[1]), 1.0 / shards)
     w = np.asarray(weights)
     out = np.zeros(len(v), dtype=np.int64)
-    for i in np.argsort(-v[:, 0], kind="stable"):
+    for i in np.argsort(-v.max(axis=1), kind="stable"):
         gain = residual @ (w * v[i])
         fits = (residual >= v[i]).all(axis=1)
-        out[i] = b = int(np.argmax(np.where(fits, gain, -np.inf) if fits.any() else residual[:, 0]))
+        out[i] = b = int(np.argmax(np.where(fits, gain, -np.inf)) if fits.any() else np.argmin((v[i] - residual).max(axis=1)))
         residual[b] -= v[i]
     return out
 
