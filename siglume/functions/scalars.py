@@ -142,3 +142,129 @@ def upper_median(values: Column) -> Column:
 
 def upper_mad(values: Column, centre: Column) -> Column:
     return upper_median(F.transform(values, lambda v: F.abs(v - centre)))
+
+
+def position_tick(bar: Column, beat: Column, rest: Column, ppq: int, beats: int, unit: int) -> Column:
+    """Tick of a 1-based bar and beat plus a rest in ticks; null outside the signature."""
+    per_beat = ppq * 4 // unit
+    return F.when((bar >= 1) & beat.between(1, beats) & (rest >= 0), (bar - 1) * (per_beat * beats) + (beat - 1) * per_beat + rest)
+
+
+def fraction_of_whole(ticks: Column, ppq: int) -> Column:
+    """Ticks as a reduced fraction of a whole note: Euclid's steps, of which a whole note of ticks needs a bounded number."""
+    whole = F.lit(ppq * 4).cast("long")
+    pair = F.struct(ticks.cast("long").alias("a"), whole.alias("b"))
+    step = lambda p, _: F.when(p["b"] == 0, p).otherwise(F.struct(p["b"].alias("a"), F.try_mod(p["a"], p["b"]).alias("b")))
+    steps = int(1.45 * (ppq * 4).bit_length()) + 3
+    g = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), pair, step)["a"]
+    return F.concat(F.floor(ticks / g).cast("string"), F.lit("/"), F.floor(whole / g).cast("string"))
+
+
+GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+NOTE_STREAM = 0xC0C41EA000000000
+
+
+def _signed(v: int) -> int:
+    return v - (1 << 64) if v >= 1 << 63 else v
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)``, with ``value`` computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _wrapped(total: Column) -> Column:
+    """A decimal as 64 bits: modulo 2 ** 64, then the signed long of these bits."""
+    two64, half = F.lit(str(1 << 64)).cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return _let(total % two64, lambda rest: F.when(rest >= half, rest - two64).otherwise(rest).cast("decimal(20,0)").cast("long"))
+
+
+def _times(a: Column, by: int) -> Column:
+    """Low 64 bits of a product of 64-bit numbers, by 32-bit halves, so that no step overflows."""
+    half = 0xFFFFFFFF
+    lo, hi = (x.cast("decimal(10,0)") for x in (a.bitwiseAND(F.lit(half)), F.shiftrightunsigned(a, 32)))
+    two32 = F.lit(1 << 32).cast("decimal(10,0)")
+    cross = ((hi * F.lit(by & half).cast("decimal(10,0)")) % two32).cast("decimal(10,0)")
+    return _wrapped((lo * F.lit(str(by)).cast("decimal(20,0)")).cast("decimal(31,0)") + (cross * two32).cast("decimal(31,0)"))
+
+
+def _plus(a: Column, by: int) -> Column:
+    return _wrapped((a.cast("decimal(21,0)") + F.lit(str(by)).cast("decimal(21,0)") + F.lit(str(1 << 64)).cast("decimal(21,0)")).cast("decimal(31,0)"))
+
+
+def counter_bits(seed: Column, index: Column) -> Column:
+    """64 random bits for each (seed, index), without state: the seed is xored with the index times a fixed step, then
+    mixed (fixed values, so that every reader of a seed gets the same noise)."""
+    z = _plus(seed.cast("long").bitwiseXOR(_let(index.cast("long"), lambda i: _times(i, GOLDEN))), GOLDEN)
+    for shift, by in ((30, MIX_A), (27, MIX_B)):
+        z = _let(_let(z, _folded(shift)), _multiplier(by))
+    return _let(z, _folded(31))
+
+
+def _folded(by: int):
+    return lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, by))
+
+
+def _multiplier(by: int):
+    return lambda v: _times(v, by)
+
+
+def counter_noise(seed: Column, index: Column) -> Column:
+    """Uniform in -1..1 (1 left out): the upper 24 bits."""
+    return F.shiftrightunsigned(counter_bits(seed, index), 40) / 8388608.0 - 1
+
+
+def note_seed(track: Column, note: Column) -> Column:
+    """Stream of a note: a hash of its track's and its own place in the schedule."""
+    return counter_bits(counter_bits(F.lit(_signed(NOTE_STREAM)).bitwiseXOR(track.cast("long")), note), F.lit(0))
+
+
+def frame_centre_ms(frame: Column, hop: int, size: int, rate: int) -> Column:
+    return (frame * hop + size // 2) / float(rate) * 1000
+
+
+def bucket_of_sample(at: Column, window: int, count: int) -> Column:
+    """Window of a sample position; the last one takes what lies beyond."""
+    return F.least(F.floor(at / window), F.lit(count - 1))
+
+
+def bucket_of_time(ms: Column, window_ms: float, count: int) -> Column:
+    return F.least(F.floor(ms / window_ms), F.lit(count - 1))
+
+
+def bar_beat_at(ms: Column, first: float, beat_ms: float, beats: int) -> tuple[Column, Column]:
+    """1-based bar and beat in force at a time on an even grid; null before the first downbeat."""
+    k = F.floor((ms - first + 1e-6) / beat_ms)
+    return F.when(k >= 0, F.floor(k / beats) + 1), F.when(k >= 0, F.pmod(k, F.lit(beats)) + 1)
+
+
+def base64_line(raw: Column) -> Column:
+    """Base64 on one line."""
+    return F.regexp_replace(F.base64(raw), "[\\r\\n]", "")
+
+
+def mel_band(hz: Column, mels: int, low: float, high: float) -> Column:
+    """Mel band of a frequency on an image's axis; null outside the axis."""
+    start, end = hz_to_mel(F.lit(low)), hz_to_mel(F.lit(high))
+    return F.when(hz.between(low, high), F.least(F.floor((hz_to_mel(hz) - start) / (end - start) * mels), F.lit(mels - 1)))
+
+
+def nearest_frame(sample: Column, hop: int, count: int) -> Column:
+    """Frame nearest to a sample offset, the last one at most."""
+    return F.least(F.floor((sample + hop // 2) / hop), F.lit(count - 1))
+
+
+def downmix(*channels: str) -> Column:
+    """Mean of the channels, added up in their order."""
+    total = F.col(channels[0])
+    for c in channels[1:]:
+        total = total + F.col(c)
+    return total / len(channels)
+
+
+def unique_names(df, name: str, order: str):
+    """``df`` with later bearers of a name called ``name_2``, ``name_3`` and so on, in ``order``."""
+    from pyspark.sql import Window as W
+
+    k = F.row_number().over(W.partitionBy(name).orderBy(order))
+    return df.withColumn("_k", k).withColumn(name, F.when(F.col("_k") > 1, F.concat(F.col(name), F.lit("_"), F.col("_k").cast("string"))).otherwise(F.col(name))).drop("_k")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
+from siglume.functions.scalars import GOLDEN, MIX_A, MIX_B, NOTE_STREAM
+
 MAX_SECONDS = 3600
 BLOCK = 64
 #: Preset: release seconds, ADSR, gain, oscillator, polyphony (0 is mono).
@@ -19,13 +21,23 @@ PRESETS = {
 
 
 def noise(seed: int, n: int) -> np.ndarray:
-    """Counter-based white noise in -1..1: each sample depends on the seed and its index alone (SplitMix64)."""
+    """Counter-based white noise in -1..1: each sample depends on the seed and its index alone (see ``scalars.counter_bits``)."""
+    return (counter_bits(seed, np.arange(n, dtype=np.uint64)) >> np.uint64(40)).astype(float) / (1 << 23) - 1
+
+
+def counter_bits(seed: int, index: np.ndarray) -> np.ndarray:
+    step = np.uint64(GOLDEN)
     with np.errstate(over="ignore"):
-        z = np.uint64(seed) + (np.arange(n, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-    return (z >> np.uint64(40)).astype(float) / (1 << 23) - 1
+        z = (np.uint64(seed) ^ (index.astype(np.uint64) * step)) + step
+        for shift, by in ((30, MIX_A), (27, MIX_B)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(by)
+    return z ^ (z >> np.uint64(31))
+
+
+def note_seed(track: int, note: int) -> int:
+    """The noise stream of a note, by its track's and its own place in the schedule."""
+    first = counter_bits(NOTE_STREAM ^ track, np.array([note]))[0]
+    return int(counter_bits(int(first), np.array([0]))[0])
 
 
 def envelope(t: np.ndarray, gate: float, adsr) -> np.ndarray:

@@ -109,3 +109,11 @@ def grid_points(onsets: DataFrame, beats: DataFrame, key: str) -> DataFrame:
     near = F.round(pos)
     ok = F.abs(pos - near) * sub <= F.greatest(0.15 * sub, F.lit(10.0))
     return hit.select(key, "t", "subdivisions", ok.alias("aligned"), (ok & (F.pmod(near, F.col("subdivisions")) != 0)).alias("offbeat"))
+
+
+def grid_choice(points: DataFrame, key: str) -> DataFrame:
+    """``key, four, three, grid``: aligned onsets on both grids; triplets win only where they fit more."""
+    hit = points.groupBy(key).agg(
+        F.count_if((F.col("subdivisions") == 4) & F.col("aligned")).alias("four"), F.count_if((F.col("subdivisions") == 3) & F.col("aligned")).alias("three")
+    )
+    return hit.withColumn("grid", F.when(F.col("three") > F.col("four"), "triplet").otherwise("straight"))

@@ -29,3 +29,93 @@ def run_checks(sig: DataFrame, key: str, specs: list[tuple[str, float, float]])
         rows.append(F.struct(F.lit(kind).alias("kind"), rule(v, F.lit(target), F.lit(tol)).alias("passed"), F.round(v, 4).alias("actual")))
     out = feats.select(key, F.inline(F.array(*rows)))
     return out.withColumn("all_passed", F.bool_and("passed").over(W.partitionBy(key)))
+
+
+#: Checks of one value of a signal's feature table: measure, rule over (value, a, b), and what an undefined value gives.
+VALUE_RULES = {
+    "integrated_lufs": ("lufs", lambda v, a, b: F.abs(v - a) <= b, False),
+    "true_peak_below": ("true_peak", lambda v, a, b: v <= a, True),
+    "lra_below": ("lra", lambda v, a, b: v <= a, True),
+    "tempo_is": ("bpm", lambda v, a, b: F.abs(v - a) <= b, False),
+    "has_clear_rhythm": ("clear", lambda v, a, b: v == a, False),
+    "grid_alignment_at_least": ("alignment", lambda v, a, b: v >= a, False),
+    "stereo_width_within": ("width", lambda v, a, b: v.between(a, b), False),
+    "section_count": ("sections", lambda v, a, b: v.between(a, b), False),
+}
+#: Checks against a track's own tables; each gives ``spec_id, passed, actual``.
+TRACK_KINDS = ("onset_at", "pitch_matches_score", "no_discontinuity", "silent_after", "brightness_rises", "brightness_falls")
+
+
+def check_values(specs: DataFrame, features: DataFrame, key: str) -> DataFrame:
+    """``spec_id, kind, passed, actual, detail`` of specs ``(spec_id, key, kind, a, b)`` against one feature row a signal. A
+    signal without features is an unknown track and fails, and so does an unknown kind."""
+    both = specs.join(features.withColumn("_there", F.lit(True)), key, "left")
+    passed, actual = F.lit(False), F.lit(None).cast("double")
+    for kind, (measure, rule, undefined) in VALUE_RULES.items():
+        here, v = F.col("kind") == kind, F.col(measure).cast("double")
+        passed = F.when(here, F.coalesce(rule(v, F.col("a"), F.col("b")), F.lit(undefined))).otherwise(passed)
+        actual = F.when(here, v).otherwise(actual)
+    known = F.col("kind").isin(*VALUE_RULES, *TRACK_KINDS)
+    detail = F.when(~known, "unknown kind").when(F.col("_there").isNull(), "unknown track").when(actual.isNull(), "undefined")
+    return both.select("spec_id", key, "kind", (F.col("_there").isNotNull() & passed).alias("passed"), actual.alias("actual"), detail.alias("detail"))
+
+
+def check_onsets(specs: DataFrame, onsets: DataFrame, key: str) -> DataFrame:
+    """Nearest onset ``t`` to ``a`` within ``b``: ``spec_id, passed, actual`` (the distance); no onset fails."""
+    near = specs.where("kind = 'onset_at'").join(onsets.select(key, "t"), key, "left")
+    best = near.groupBy("spec_id", "b").agg(F.min(F.abs(F.col("t") - F.col("a"))).alias("actual"))
+    return best.select("spec_id", F.coalesce(F.col("actual") <= F.col("b"), F.lit(False)).alias("passed"), "actual")
+
+
+def check_pitch(specs: DataFrame, notes: DataFrame, track: DataFrame, key: str, hop_ms: float, guard_ms: float = 15.0, least_ms: float = 60.0) -> DataFrame:
+    """Every note ``(key, note, on_ms, off_ms, midi)`` of 60 ms or more within ``a`` cents by the median of the voiced hops
+    ``(key, i, f0)`` between its guarded start and its end; a note without pitch fails, and so does a track without notes.
+    Notes meet hops on the hop's index."""
+    from siglume.functions.scalars import cents_off
+
+    mine = specs.where("kind = 'pitch_matches_score'")
+    long = notes.where(F.col("off_ms") - F.col("on_ms") >= least_ms)
+    first, last = F.ceil((F.col("on_ms") + guard_ms) / hop_ms), F.ceil(F.col("off_ms") / hop_ms) - 1
+    at = long.where(last >= first).select(key, "note", "midi", F.explode(F.sequence(first, last)).alias("i"))
+    f0 = at.join(track.where("f0 is not null").select(key, "i", "f0"), [key, "i"], "left").groupBy(key, "note", "midi").agg(F.median("f0").alias("f0"))
+    cents = f0.select(key, F.abs(cents_off(F.col("f0"), F.col("midi"))).alias("c")).groupBy(key).agg(F.max("c").alias("worst"), F.count_if(F.col("c").isNull()).alias("without"))
+    both = mine.join(cents, key, "left")
+    return both.select("spec_id", (F.coalesce(F.col("worst") <= F.col("a"), F.lit(False)) & (F.col("without") == 0)).alias("passed"), F.col("worst").alias("actual")).fillna({"passed": False})
+
+
+def guarded_jumps(sig: DataFrame, edges: DataFrame, key: str, guard: int, floor: float) -> DataFrame:
+    """``key, i, jump`` of sample pairs that don't both lie under ``floor`` and don't end within ``guard`` samples of a note
+    edge ``(key, at)``. Edges become guarded sample numbers, so pairs leave by an anti join on equal keys."""
+    p = F.lag("x").over(W.partitionBy(key).orderBy("i"))
+    d = sig.withColumn("p", p).where(F.col("p").isNotNull() & ((F.abs("x") >= floor) | (F.abs("p") >= floor)))
+    shut = edges.select(key, F.explode(F.sequence(F.col("at") - guard, F.col("at") + guard)).alias("i")).distinct()
+    return d.join(shut, [key, "i"], "left_anti").select(key, "i", F.abs(F.col("x") - F.col("p")).alias("jump"))
+
+
+def check_jumps(specs: DataFrame, jumps: DataFrame, key: str) -> DataFrame:
+    """No guarded jump above ``a``: ``spec_id, passed, actual`` (the worst; a track without pairs passes)."""
+    worst = jumps.groupBy(key).agg(F.max("jump").alias("actual"))
+    both = specs.where("kind = 'no_discontinuity'").join(worst, key, "left")
+    return both.select("spec_id", F.coalesce(F.col("actual") <= F.col("a"), F.lit(True)).alias("passed"), "actual")
+
+
+def check_tail(specs: DataFrame, hops: DataFrame, key: str) -> DataFrame:
+    """The loudest hop ``(key, start, rms)`` from ``a`` on is strictly below ``b`` dB; none there passes."""
+    both = specs.where("kind = 'silent_after'").join(hops.select(key, "start", "rms"), key, "left")
+    worst = both.groupBy("spec_id", "b").agg(lin_to_db(F.max(F.when(F.col("start") >= F.col("a"), F.col("rms")))).alias("actual"))
+    return worst.select("spec_id", F.coalesce(F.col("actual") < F.col("b"), F.lit(True)).alias("passed"), "actual")
+
+
+def check_brightness(specs: DataFrame, curve: DataFrame, key: str) -> DataFrame:
+    """Median centroid ``(key, t, hz)`` of the range's last quarter against the first: at least ``ratio`` times it (rises), or
+    the other way (falls). ``a`` to ``b`` is the range; an empty range or an undefined end fails."""
+    mine = specs.where("kind in ('brightness_rises', 'brightness_falls')")
+    quarter = (F.col("b") - F.col("a")) / 4
+    both = mine.join(curve.select(key, "t", "hz"), key, "left").groupBy("spec_id", "kind", "a", "b", "ratio").agg(
+        F.median(F.when((F.col("t") >= F.col("a")) & (F.col("t") < F.col("a") + quarter), F.col("hz"))).alias("first"),
+        F.median(F.when((F.col("t") >= F.col("b") - quarter) & (F.col("t") < F.col("b")), F.col("hz"))).alias("last"),
+    )
+    rises = F.col("last") >= F.col("first") * F.col("ratio")
+    falls = F.col("first") >= F.col("last") * F.col("ratio")
+    ok = F.when(F.col("kind") == "brightness_rises", rises).otherwise(falls) & (F.col("b") > F.col("a"))
+    return both.select("spec_id", F.coalesce(ok, F.lit(False)).alias("passed"), F.try_divide("last", "first").alias("actual"))
