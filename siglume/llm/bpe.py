@@ -29,7 +29,7 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import per_worker
+from .common import bounded, per_worker
 
 #: The splitting pattern of the byte-level pre-tokeniser (a fixed value of the vocabulary file's format), with classes to fill in.
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{W}{L}{N}]+|[{W}]+(?![^{W}])|[{W}]+"
@@ -305,6 +305,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
     their rows; extra columns are ignored. The vocabulary (bounded by its file) is read once by the driver
     and broadcast, so executors need no copy of the file.
     """
+    bounded(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     slim = json.dumps({"model": {k: spec["model"][k] for k in ("vocab", "merges")}, "added_tokens": spec.get("added_tokens")})

@@ -16,6 +16,16 @@ OWN = "_siglume_"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Arrow batches between JVM and Python workers hold this much, whatever their rows: memory is bounded on both sides.
+BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, unless the session has a bound of its own."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, BATCH)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a local session (driver and executors in one
     process, as in tests) gets a private folder; any other session is refused, since executors would not share one."""
@@ -30,24 +40,27 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _cleaned(spark: SparkSession):
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def _settings(spark: SparkSession, **values):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, batch: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors. Its shuffle
-    files go with the write."""
+    files go with the write. ``batch`` bounds its Arrow batches otherwise than the session."""
     spark = df.sparkSession
+    bounded(spark)
     path = f"{scratch_root(spark)}/siglume/{name}-{uuid.uuid4().hex}"
-    with _cleaned(spark):
+    with _settings(spark, **{CLEANUP: "true", BATCH_KEY: batch or spark.conf.get(BATCH_KEY)}):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
@@ -123,4 +136,5 @@ def in_bitmap(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

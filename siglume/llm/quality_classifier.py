@@ -20,6 +20,8 @@ from . import tokens as K
 from .common import discard, materialize, settle
 
 BITS = 18
+#: Entries of the training rows that a step looks at together.
+PART = 1 << 18
 #: Fixed English insult words of the public-lexicon labeller.
 INSULTS = "idiot moron stupid loser trash scum clown pathetic worthless disgusting".split()
 QUALITY = ("symbols", "capitals", "stutter", "lines", "triples", "tails", "empty")
@@ -171,15 +173,21 @@ def train(cols: np.ndarray, size: np.ndarray, target: np.ndarray, penalty: float
     at = place[cols]
     row = np.repeat(np.arange(n, dtype=np.int32), size)[at >= 0]
     at = at[at >= 0]
+    parts = [slice(k, k + PART) for k in range(0, len(at), PART)]  # what a step makes of the rows is bounded
     scale = np.sqrt(count[often] + 1.0)
     w = np.zeros(len(often))
     y, t = w.copy(), 1.0
     b = by = float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
     rate = 4.0 * n / (scale * np.sqrt(max(1.0, size.mean())))  # diagonal steps: rare features move further
     for _ in range(rounds):
-        z = by + np.bincount(row, weights=y[at], minlength=n)
+        z = np.full(n, by)
+        for p in parts:
+            z += np.bincount(row[p], weights=y[at[p]], minlength=n)
         r = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target
-        grad = np.bincount(at, weights=r[row], minlength=len(often)) / n
+        grad = np.zeros(len(often))
+        for p in parts:
+            grad += np.bincount(at[p], weights=r[row[p]], minlength=len(often))
+        grad /= n
         step = rate / (scale * 2)
         new = y - step * grad
         new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
@@ -290,6 +298,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_labels: i
             full, bias = train(np.concatenate([h[3] for h in held]) if held else np.zeros(0, np.int32), size, target)
             at = np.flatnonzero(full)
             yield pa.RecordBatch.from_pydict({"head": pa.array(np.full(len(at) + 1, head, np.int32)), "at": pa.array(np.append(at, -1)), "w": pa.array(np.append(full[at], bias))})
+        del held
+        pa.default_memory_pool().release_unused()  # the worker process lives on
 
     # max_train rows at most meet in one task, which trains; 2 ** BITS weights a head at most come back
     rows = sample.mapInArrow(featurise, f"doc_id {kind}, q long, t long, f array<int>").orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id").limit(max_train)

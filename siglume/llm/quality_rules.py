@@ -34,7 +34,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     """``doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` of whole texts.
 
     Words are runs other than ASCII white space. Null and empty texts count nothing. One text is in memory
-    at a time beyond blocks of 2 MB.
+    at a time beyond blocks of 1 MB.
     """
 
     def kernel(batches):

@@ -211,7 +211,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, k: int = K_BYTES) -> DataFrame:
             })
 
     found = docs.select("d", "th", "text").mapInArrow(emit, "d long, th long, a long, b long, ah long, sh long, count int, shift int, seg binary")
-    found = materialize(found, "suffix-segments")
+    found = materialize(found, "suffix-segments", "16m")  # equal segments of a batch are combined
     discard(seen, sent)
     settle(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text that one block holds at most, unless a single text is longer.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _U = np.uint64
 BASE = _U(0x9E3779B97F4A7C15)
 INVERSE = _U(pow(int(BASE), -1, 1 << 64))
