@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from siglume.functions.scalars import upper_mad, upper_median
+from siglume.operators.sequential import suppress
 
 
 def flux(sig: DataFrame, key: str) -> DataFrame:
@@ -28,23 +29,7 @@ def peaks(df: DataFrame, key: str, value: str = "f") -> DataFrame:
     return marked.where((v > F.col("thr")) & (v >= F.col("_p")) & (v > F.col("_n"))).drop("_p", "_n")
 
 
-def suppress(places: Column, min_gap: int) -> Column:
-    """Non-maximum suppression of ``array<struct<i, f>>`` sorted by i: a peak within the gap of the current best
-    joins it, and moves it if stronger; otherwise it starts a new one."""
-    empty = F.array().cast("array<struct<i:bigint,f:double>>")
-
-    def step(acc: Column, p: Column) -> Column:
-        last = F.element_at(acc, -1)
-        close = (F.size(acc) > 0) & (p["i"] - F.try_element_at(acc, F.lit(-1))["i"] <= min_gap)
-        better = p["f"] > last["f"]
-        moved = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(p))
-        return F.when(~close, F.concat(acc, F.array(p))).when(better, moved).otherwise(acc)
-
-    return F.aggregate(places, empty, step)
-
-
 def onsets(sig: DataFrame, key: str, scale: float = 8.0, min_gap: int = 3, half: int = 10) -> DataFrame:
     """``key, i, f`` of the accepted onsets."""
     found = peaks(with_threshold(flux(sig, key), key, half=half, scale=scale), key)
-    per = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "f"))).alias("p"))
-    return per.select(key, F.inline(suppress(F.col("p"), min_gap)))
+    return suppress(found, key, min_gap)

@@ -90,11 +90,11 @@ def beat_grid(env: DataFrame, key: str, period: int, penalty: float = 400.0) ->
     return env.select(key, "i", "x").groupBy(key).applyInPandas(kernel, f"{key} {kind}, beat long, i long")
 
 
-def grid_points(onsets: DataFrame, beats: DataFrame, key: str) -> DataFrame:
+def grid_points(onsets: DataFrame, beats: DataFrame, key: str, width: float = 1000.0) -> DataFrame:
     """Each onset time against grids of 4 and 3 points a beat: ``key, t, subdivisions, aligned, offbeat``.
 
     Beats become intervals, with one more of the neighbour's length at either end; the last end is inclusive.
-    Onsets meet the intervals of their own signal only.
+    Onsets meet only intervals that reach into their own bucket of ``width`` of their own signal: an equi-join.
     """
     w = W.partitionBy(key).orderBy("t")
     b = beats.withColumns({"nx": F.lead("t").over(w), "pv": F.lag("t").over(w)})
@@ -102,7 +102,9 @@ def grid_points(onsets: DataFrame, beats: DataFrame, key: str) -> DataFrame:
     tail = b.where("nx is null and pv is not null").select(key, F.col("t").alias("a"), (2 * F.col("t") - F.col("pv")).alias("b"), F.lit(True).alias("last"))
     head = b.where("pv is null and nx is not null").select(key, (2 * F.col("t") - F.col("nx")).alias("a"), F.col("t").alias("b"), F.lit(False).alias("last"))
     spans = mid.unionByName(tail).unionByName(head).where("b > a")
-    hit = onsets.join(spans, key).where((F.col("t") >= F.col("a")) & ((F.col("t") < F.col("b")) | (F.col("last") & (F.col("t") == F.col("b")))))
+    bucket = lambda c: F.floor(c / width)
+    spans = spans.withColumn("_k", F.explode(F.sequence(bucket(F.col("a")), bucket(F.col("b")))))
+    hit = onsets.withColumn("_k", bucket(F.col("t"))).join(spans, [key, "_k"]).where((F.col("t") >= F.col("a")) & ((F.col("t") < F.col("b")) | (F.col("last") & (F.col("t") == F.col("b")))))
     hit = hit.withColumn("subdivisions", F.explode(F.array(F.lit(4), F.lit(3))))
     sub = (F.col("b") - F.col("a")) / F.col("subdivisions")
     pos = (F.col("t") - F.col("a")) / sub

@@ -6,7 +6,8 @@ from pyspark.sql import Window as W, functions as F
 
 from siglume.functions.scalars import upper_mad, upper_median
 from siglume.operators import spectral
-from siglume.operators.onsets import peaks, suppress
+from siglume.operators.onsets import peaks
+from siglume.operators.sequential import suppress
 from siglume.plans.catalog import query, rounded
 from siglume.sources.views import frame_bins, sig_frames, with_views
 
@@ -172,6 +173,6 @@ def section_bounds(spark, sf_dir):
     whole = nov.groupBy("k").agg(F.collect_list("f").alias("w")).withColumn("med", upper_median(F.col("w")))
     thr = whole.select("k", (F.col("med") + 1.5 * upper_mad(F.col("w"), F.col("med"))).alias("thr"))
     found = peaks(nov.join(F.broadcast(thr), "k"), "k")
-    picked = found.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("i", "f"))).alias("p")).select(F.inline(suppress(F.col("p"), 4)))
+    picked = suppress(found, "k", 4)
     ranked = picked.withColumn("r", F.row_number().over(W.orderBy(F.desc("f"), "i"))).where("r <= 11")
     return rounded(ranked.select(F.col("i").alias("boundary"), F.col("f").alias("nov")), places=5)
