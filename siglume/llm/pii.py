@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from functools import cache
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -55,7 +54,6 @@ LETTERS = {
 }
 
 
-@cache
 def script_of(word: str) -> str:
     """Script of a word's first letter; scripts unknown here count as Latin."""
     cp = ord(word[0])
