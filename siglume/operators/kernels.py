@@ -82,17 +82,28 @@ def frame_ms(t, rate: int):
     return (np.asarray(t) * 256 + 512) / rate * 1000
 
 
-def biquad(x: np.ndarray, b: tuple, a: tuple) -> np.ndarray:
-    """Direct-form filter in blocks: a state recursion per sample is avoided by the impulse response of the poles."""
-    y = np.empty(len(x))
-    x1 = x2 = y1 = y2 = 0.0
-    b0, b1, b2 = b
-    _, a1, a2 = a
-    for n, v in enumerate(x.tolist()):
-        r = b0 * v + b1 * x1 + b2 * x2 - a1 * y1 - a2 * y2
-        x2, x1, y2, y1 = x1, v, y1, r
-        y[n] = r
-    return y
+def biquad(x: np.ndarray, b: tuple, a: tuple, block: int = 256) -> np.ndarray:
+    """Second-order filter, a block at a time: the block's own response is a product with the impulse response, and only
+    the two numbers of state pass from block to block."""
+    n = len(x)
+    step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
+    push = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+    powers = np.empty((block + 1, 2, 2))
+    powers[0] = np.eye(2)
+    for k in range(block):
+        powers[k + 1] = powers[k] @ step
+    impulse = np.concatenate([[b[0]], (powers[: block - 1] @ push)[:, 0]])
+    own = np.zeros((block, block))
+    for k in range(block):
+        own[k:, k] = impulse[: block - k]
+    held, into = powers[:block, 0, :], (powers[block - 1 :: -1] @ push).T  # output of a state, and state of a block's samples
+    parts = np.zeros((-(-n // block), block))
+    parts.ravel()[:n] = x
+    gained, state, states = parts @ into.T, np.zeros(2), np.empty((len(parts), 2))
+    for k, g in enumerate(gained):
+        states[k] = state
+        state = powers[block] @ state + g
+    return (parts @ own.T + states @ held.T).ravel()[:n]
 
 
 def k_weighting(rate: int) -> list[tuple[tuple, tuple]]:

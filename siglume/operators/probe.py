@@ -6,6 +6,9 @@ import json
 
 from pyspark.sql import DataFrame, functions as F
 
+from siglume.operators import kernels
+from siglume.operators.assertions import compare
+
 
 def _whole(f):
     import numpy as np
@@ -15,15 +18,17 @@ def _whole(f):
 
 
 def cut(packed: DataFrame, start_s: float, end_s: float | None = None) -> DataFrame:
-    """Frames from ``round(start * rate)`` to ``round(end * rate)``. Chunks outside are pruned by their start frame
-    before any samples are touched."""
+    """Frames from ``round(start * rate)`` to ``round(end * rate)``, with ``start_ms`` for reports. Chunks outside are pruned by
+    their start frame before any samples are touched. An end before the start, or a negative or infinite bound, is an error."""
+    if not (0 <= start_s < float("inf")) or end_s is not None and not (start_s < end_s < float("inf")):
+        raise ValueError(f"{start_s}..{end_s} s is no window")
     a = F.round(F.lit(start_s) * F.col("sample_rate")).cast("long")
     size = (F.size("samples") / F.col("channels")).cast("long")
     b = F.col("start_frame") + size if end_s is None else F.round(F.lit(end_s) * F.col("sample_rate")).cast("long")
     lo, hi = F.greatest(a, F.col("start_frame")), F.least(b, F.col("start_frame") + size)
     skip = ((lo - F.col("start_frame")) * F.col("channels")).cast("int")
     out = packed.where(hi > lo).withColumn("samples", F.slice("samples", skip + 1, ((hi - lo) * F.col("channels")).cast("int")))
-    return out.withColumn("start_frame", lo - a)
+    return out.withColumns({"start_frame": lo - a, "start_ms": F.round(F.lit(start_s) * F.col("sample_rate")) / F.col("sample_rate") * 1000})
 
 
 def probe(packed: DataFrame) -> DataFrame:
@@ -32,10 +37,8 @@ def probe(packed: DataFrame) -> DataFrame:
     def kernel(f):
         import pandas as pd
 
-        from siglume.operators import kernels
-
         x, rate, channels = _whole(f)
-        return pd.DataFrame({"signal_id": [f["signal_id"].iloc[0]], "report": [json.dumps(kernels.probe(x, rate, channels))]})
+        return pd.DataFrame({"signal_id": [f["signal_id"].iloc[0]], "report": [json.dumps(kernels.probe(x, rate, channels, float(f["start_ms"].iloc[0]) if "start_ms" in f else 0.0))]})
 
     return packed.groupBy("signal_id").applyInPandas(kernel, "signal_id string, report string")
 
@@ -69,8 +72,6 @@ def transcribe(packed: DataFrame, ppq: int = 480, bpm: float = 120.0, grid: int
         import numpy as np
         import pandas as pd
 
-        from siglume.operators import kernels
-
         x, rate, channels = _whole(f)
         mono = x.reshape(-1, channels).mean(axis=1).astype(float)
         per_ms = bpm * ppq / 60_000
@@ -108,8 +109,6 @@ def timeline(packed: DataFrame, window_ms: float = 1000.0, floor: float = -60.0)
     def kernel(f):
         import pandas as pd
 
-        from siglume.operators import kernels
-
         x, rate, channels = _whole(f)
         out = pd.DataFrame(kernels.timeline(x.reshape(-1, channels).mean(axis=1).astype(float), rate, window_ms, floor))
         if not len(out):
@@ -127,8 +126,6 @@ def beats(packed: DataFrame) -> DataFrame:
         import numpy as np
         import pandas as pd
 
-        from siglume.operators import kernels
-
         x, rate, channels = _whole(f)
         flux = kernels.flux_of(kernels.stft(x.reshape(-1, channels).mean(axis=1).astype(float), 1024, 256))
         t = kernels.tempo(flux, kernels.onset_frames(flux, rate), rate)
@@ -146,8 +143,6 @@ def compare_pairs(reports: DataFrame, pairs: DataFrame) -> DataFrame:
     def kernel(frames):
         import pandas as pd
 
-        from siglume.operators.assertions import compare
-
         for f in frames:
             rows = []
             for a, b, x, y in zip(f["a"], f["b"], f["ra"], f["rb"]):

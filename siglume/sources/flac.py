@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from siglume.sources.wav import MAX_SAMPLES, AudioError
+from siglume.sources.limits import MAX_SAMPLES, AudioError
 
 
 class _Bits:

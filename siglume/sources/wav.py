@@ -10,15 +10,13 @@ import struct
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-MAX_SAMPLES = 1_000_000_000
+from siglume.sources.flac import decode_flac
+from siglume.sources.limits import MAX_SAMPLES, AudioError
+
 CHUNK_FRAMES = 1 << 16
 PACKED = "signal_id string, sample_rate int, channels int, chunk_id long, start_frame long, samples array<float>"
 
 
-class AudioError(ValueError):
-    pass
-
-
 def sniff(content: Column) -> Column:
     """Container by its first bytes: wav, flac, ogg, mp3 or null."""
     head = F.hex(F.substring(content, 1, 4))
@@ -98,8 +96,6 @@ def encode_wav(samples, rate: int, channels: int, depth: str = "float") -> bytes
 def decode(raw: bytes, max_samples: int = MAX_SAMPLES):
     """By the first bytes: WAV or FLAC; lossy containers raise, since no decoder for them is at hand."""
     if raw[:4] == b"fLaC":
-        from siglume.sources.flac import decode_flac
-
         return decode_flac(raw, max_samples)
     if raw[:4] == b"OggS" or raw[:3] == b"ID3" or (len(raw) > 1 and raw[0] == 0xFF and raw[1] & 0xE0 == 0xE0):
         raise AudioError("ogg and mp3 aren't supported")
@@ -123,7 +119,7 @@ def read_audio(spark: SparkSession, path: str, max_samples: int = MAX_SAMPLES) -
                     "chunk_id": np.arange(len(parts)), "start_frame": np.arange(len(parts)) * CHUNK_FRAMES, "samples": parts,
                 })
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{wav,WAV,flac,FLAC}").option("recursiveFileLookup", "true").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{[wW][aA][vV],[fF][lL][aA][cC]}").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(kernel, PACKED)
 
 
