@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field, replace
 from math import gcd
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MAX_TICK = 1 << 32
 UNITS = (1, 2, 4, 8, 16, 32)
@@ -16,6 +17,45 @@ class ScoreError(ValueError):
     pass
 
 
+#: Control points of the named curves (fixed values).
+CURVES = {"ease_in": (0.42, 0.0, 1.0, 1.0), "ease_out": (0.0, 0.0, 0.58, 1.0), "ease_in_out": (0.42, 0.0, 0.58, 1.0)}
+
+
+def curve_points(ease: str) -> tuple[float, ...] | None:
+    """``x1, y1, x2, y2`` of a curved ease; x stays within 0..1, so that the curve is a function."""
+    if ease in CURVES:
+        return CURVES[ease]
+    m = re.fullmatch(r"bezier\(([^,()]+),([^,()]+),([^,()]+),([^,()]+)\)", ease)
+    if not m:
+        return None
+    try:
+        x1, y1, x2, y2 = map(float, m.groups())
+    except ValueError:
+        return None
+    return (x1, y1, x2, y2) if 0 <= x1 <= 1 and 0 <= x2 <= 1 else None
+
+
+def eased(u: Column, ease: Column) -> Column:
+    """Progress 0..1 bent by a curved ease (anything else is linear): the curve's parameter is found by halving."""
+    part = lambda k: F.regexp_extract(ease, r"^bezier\(([^,()]+),([^,()]+),([^,()]+),([^,()]+)\)$", k + 1).try_cast("double")
+    p = []
+    for k in range(4):
+        c = part(k)
+        for name, points in CURVES.items():
+            c = F.when(ease == name, F.lit(points[k])).otherwise(c)
+        p.append(c)
+    at = lambda s, a, b: 3 * (1 - s) * (1 - s) * s * a + 3 * (1 - s) * s * s * b + s * s * s
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+
+    def halve(b, _):
+        mid = (b["lo"] + b["hi"]) / 2
+        low = at(mid, p[0], p[2]) < u
+        return F.struct(F.when(low, mid).otherwise(b["lo"]).alias("lo"), F.when(low, b["hi"]).otherwise(mid).alias("hi"))
+
+    s = F.aggregate(F.sequence(F.lit(1), F.lit(50)), start, halve, lambda b: (b["lo"] + b["hi"]) / 2)
+    return F.when(p[0].isNotNull(), at(s, p[1], p[3])).otherwise(u)
+
+
 @dataclass(frozen=True)
 class Score:
     """Rows only; every method returns a new score or raises ``ScoreError``."""
@@ -30,6 +70,8 @@ class Score:
     gain_db: float = 0.0
     limiter: tuple[float, float, float] | None = None
     checks: tuple[tuple[str, float, float], ...] = field(default=())
+    inserts: tuple[tuple[int, str], ...] = ()
+    specs: tuple[tuple[str, tuple[tuple[str, object], ...]], ...] = ()
 
     def __post_init__(self) -> None:
         if not 8_000 <= self.sample_rate <= 192_000:
@@ -67,13 +109,27 @@ class Score:
         return replace(self, notes=(*self.notes, (self._index(track), self._tick(at), dur, pitch, vel)))
 
     def automate(self, track: str, param: str, keys: list[tuple[int, float, str]]) -> Score:
-        """Replaces the parameter's keys; two at one tick are an error. Eases: linear, hold."""
+        """Replaces the parameter's keys; two at one tick are an error. Eases: linear, hold, ease_in, ease_out,
+        ease_in_out, bezier(x1,y1,x2,y2)."""
+        for _, _, e in keys:
+            if e not in ("linear", "hold") and not curve_points(e):
+                raise ScoreError(f"{e!r} is no ease")
         if len({k[0] for k in keys}) < len(keys):
             raise ScoreError("two keys at one tick")
         k = self._index(track)
         rest = tuple(a for a in self.automation if a[:2] != (k, param))
         return replace(self, automation=(*rest, *((k, param, self._tick(t), float(v), e) for t, v, e in sorted(keys))))
 
+    def insert(self, track: str, name: str) -> Score:
+        """An effect at the end of the track's chain."""
+        if not name:
+            raise ScoreError("an insert has no name")
+        return replace(self, inserts=(*self.inserts, (self._index(track), name)))
+
+    def spec(self, kind: str, **fields) -> Score:
+        """A check with named fields, as the text form has it."""
+        return replace(self, specs=(*self.specs, (kind, tuple(fields.items()))))
+
     def master(self, gain_db: float = 0.0, limiter: tuple[float, float, float] | None = None) -> Score:
         if not -40 <= gain_db <= 24:
             raise ScoreError("the gain isn't within -40..24")
@@ -140,7 +196,7 @@ def value_at(keys: DataFrame, at: DataFrame) -> DataFrame:
     key = F.when(F.col("q") == 0, F.struct("t", "value", "ease"))
     both = both.withColumns({"a": F.last(key, True).over(w), "b": F.first(key, True).over(w.rowsBetween(1, W.unboundedFollowing))})
     u = (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
-    v = F.when(F.col("a").isNull(), F.col("b.value")).when(F.col("b").isNull() | (F.col("a.ease") == "hold"), F.col("a.value")).otherwise(F.col("a.value") + (F.col("b.value") - F.col("a.value")) * u)
+    v = F.when(F.col("a").isNull(), F.col("b.value")).when(F.col("b").isNull() | (F.col("a.ease") == "hold"), F.col("a.value")).otherwise(F.col("a.value") + (F.col("b.value") - F.col("a.value")) * eased(u, F.col("a.ease")))
     return both.where("q = 1").select("track_idx", "param", F.col("t").alias("tick"), v.alias("value"))
 
 
@@ -151,8 +207,8 @@ def lint(tables: dict[str, DataFrame], presets: DataFrame, params: DataFrame) ->
     """
     t, n, a = tables["tracks"], tables["notes"], tables["automation"]
     row = lambda code, message: (F.lit("error").alias("severity"), F.lit(code).alias("code"), message.alias("message"))
-    unknown = t.where("preset <> 'custom'").join(presets, "preset", "left_anti").select(*row("unknown_preset", F.concat_ws(" ", "name", "preset")))
-    used = a.join(t, ["score_id", "track_idx"]).where("preset <> 'custom'")
+    unknown = t.where("preset not like 'custom%'").join(presets, "preset", "left_anti").select(*row("unknown_preset", F.concat_ws(" ", "name", "preset")))
+    used = a.join(t, ["score_id", "track_idx"]).where("preset not like 'custom%'")
     missing = used.join(params, ["preset", "param"], "left_anti").select(*row("unknown_param", F.concat_ws(" ", "name", "param"))).distinct()
     outside = used.join(params, ["preset", "param"]).where("value < min or value > max").select(*row("param_range", F.concat_ws(" ", "name", "param", F.col("value").cast("string"))))
     from siglume.operators.sequences import overlaps

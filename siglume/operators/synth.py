@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from siglume.functions.scalars import GOLDEN, MIX_A, MIX_B, NOTE_STREAM
+from siglume.sources.wav import PACKED
 
 MAX_SECONDS = 3600
 BLOCK = 64
@@ -147,6 +148,97 @@ def render_notes(notes: list[tuple[str, float, float, int, int]], rate: int) ->
     return out
 
 
+def voices_until(notes: list[tuple[float, float]], most: int) -> list[float]:
+    """Ends of the voices of ``(start, end)`` in order of start: where ``most`` sound already (0 and 1: one), a new note takes the
+    voice that began first, which ends there."""
+    sounding: list[int] = []
+    ends = [e for _, e in notes]
+    for k, (start, _) in enumerate(notes):
+        sounding = [j for j in sounding if ends[j] > start]
+        while len(sounding) >= max(most, 1):
+            ends[sounding.pop(0)] = start
+        sounding.append(k)
+    return ends
+
+
+def held(keys: list[tuple[float, float]], default: float, n: int, rate: int) -> np.ndarray:
+    """A parameter per sample, read at the start of each block of ``BLOCK`` samples and held: straight lines between keys
+    ``(seconds, value)``, the end values beyond."""
+    at = np.arange(-(-n // BLOCK)) * BLOCK / rate
+    v = np.interp(at, *zip(*sorted(keys))) if keys else np.full(len(at), default)
+    return np.repeat(v, BLOCK)[:n]
+
+
+def stem(notes: list[tuple[float, float, int, int]], preset: str, rate: int, n: int, track: int = 0, gain: list = (), pan: list = (), wet: float = 0.0) -> np.ndarray:
+    """Stereo samples ``(n, 2)`` of one track's ``(start_s, seconds, midi, vel)``: voices with stealing, each with a noise stream of
+    its own, an optional reverb, then gain and constant-power pan held block by block."""
+    release, _, _, _, most = PRESETS[preset]
+    order = sorted(range(len(notes)), key=lambda k: (notes[k][0], k))
+    ends = voices_until([(notes[k][0], notes[k][0] + notes[k][1] + release) for k in order], most)
+    x = np.zeros(n)
+    for k, end in zip(order, ends):
+        start, seconds, midi, vel = notes[k]
+        a = int(round(start * rate))
+        v = voice(preset, midi, vel, seconds, rate, note_seed(track, k))
+        v = v[: max(0, min(int(round(end * rate)), n) - a)]
+        x[a : a + len(v)] += v
+    if wet > 0:
+        x = reverb(x, rate, wet=wet)[:n]
+    g, angle = held(list(gain), 1.0, n, rate), (held(list(pan), 0.0, n, rate) + 1) * (np.pi / 4)
+    return np.stack([x * g * np.cos(angle), x * g * np.sin(angle)], axis=1)
+
+
+def stems(notes: DataFrame, tracks: DataFrame, rate: int = 48_000) -> DataFrame:
+    """Packed stereo PCM of every track, ``signal_id`` being ``score/track``: one track a task. ``notes`` has ``score_id, track,
+    start_s, seconds, midi, vel`` and ``tracks`` ``score_id, track, preset, gain, pan`` (arrays of ``at`` seconds and ``value``, or null)
+    and ``wet``; a track without notes has no stem, a note without track none either."""
+    from pyspark.sql import Window as W, functions as F
+
+    length = (F.col("start_s") + F.col("seconds")).alias("end")
+    ends = notes.join(tracks.select("score_id", "track", "preset"), ["score_id", "track"])
+    tail = F.element_at(F.create_map(*[x for p, v in PRESETS.items() for x in (F.lit(p), F.lit(v[0]))]), F.col("preset"))
+    total = ends.groupBy("score_id").agg(F.max(length + tail).alias("total"))
+    rows = notes.join(tracks, ["score_id", "track"]).join(total, "score_id")
+    rows = rows.withColumn("place", F.dense_rank().over(W.partitionBy("score_id").orderBy("track")) - 1)
+
+    def kernel(f):
+        import pandas as pd
+
+        first = f.iloc[0]
+        if first["total"] > MAX_SECONDS:
+            raise ValueError(f"{first['total']:.0f} s are more than {MAX_SECONDS}")
+        keys = lambda c: [(k["at"], k["value"]) for k in c] if c is not None else []
+        f = f.sort_values(["start_s", "midi", "seconds"])
+        x = stem(list(zip(f["start_s"], f["seconds"], f["midi"], f["vel"])), first["preset"], rate, int(np.ceil(first["total"] * rate)) + 1, int(first["place"]), keys(first["gain"]), keys(first["pan"]), float(first["wet"]))
+        return pd.DataFrame({"signal_id": [f"{first['score_id']}/{first['track']}"], "sample_rate": [rate], "channels": [2], "chunk_id": [0], "start_frame": [0], "samples": [x.astype(np.float32).ravel()]})
+
+    return rows.groupBy("score_id", "track").applyInPandas(kernel, PACKED)
+
+
+def mix(parts: DataFrame, gain_db: float = 0.0, ceiling_db: float | None = -1.0) -> DataFrame:
+    """Packed PCM of each score: its stems added up in the order of their names, then gain, then the limiter on both channels."""
+    from pyspark.sql import functions as F
+
+    rows = parts.withColumn("score_id", F.regexp_extract("signal_id", r"^(.*)/[^/]*$", 1))
+
+    def kernel(f):
+        import pandas as pd
+
+        f = f.sort_values("signal_id")
+        rate, channels = int(f["sample_rate"].iloc[0]), int(f["channels"].iloc[0])
+        x = np.zeros(max(len(s) for s in f["samples"]))
+        for s in f["samples"]:
+            x[: len(s)] += s
+        x = (x * 10 ** (gain_db / 20)).reshape(-1, channels)
+        if ceiling_db is not None:
+            peak = np.abs(x).max(axis=1)
+            limited = limit(peak, rate, ceiling_db)
+            x = x * np.where(peak > 0, limited / np.maximum(peak, 1e-300), 1.0)[:, None]
+        return pd.DataFrame({"signal_id": [f["score_id"].iloc[0]], "sample_rate": [rate], "channels": [channels], "chunk_id": [0], "start_frame": [0], "samples": [x.astype(np.float32).ravel()]})
+
+    return rows.groupBy("score_id").applyInPandas(kernel, PACKED)
+
+
 def render(notes: DataFrame, rate: int = 48_000, master: bool = True) -> DataFrame:
     """Packed PCM of each ``score_id`` from ``score_id, preset, start_s, seconds, midi, vel``; one score a task."""
 
@@ -157,6 +249,4 @@ def render(notes: DataFrame, rate: int = 48_000, master: bool = True) -> DataFra
         x = (limit(x, rate) if master else x).astype(np.float32)
         return pd.DataFrame({"signal_id": [str(f["score_id"].iloc[0])], "sample_rate": [rate], "channels": [1], "chunk_id": [0], "start_frame": [0], "samples": [x]})
 
-    from siglume.sources.wav import PACKED
-
     return notes.groupBy("score_id").applyInPandas(kernel, PACKED)

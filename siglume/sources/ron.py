@@ -97,15 +97,25 @@ def loads(text: str):
     return out
 
 
+class Name(str):
+    """A bare name, such as a variant without fields."""
+
+
 def dumps(v) -> str:
+    if isinstance(v, Name):
+        return str(v)
     if isinstance(v, bool):
         return str(v).lower()
     if v is None:
         return "None"
     if isinstance(v, str):
         return '"' + v.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\t", "\\t") + '"'
+    if isinstance(v, dict) and set(v) == {"$", "values"}:
+        return v["$"] + "(" + ", ".join(map(dumps, v["values"])) + ")"
     if isinstance(v, dict):
         return v.get("$", "") + "(" + ", ".join(f"{k}: {dumps(x)}" for k, x in v.items() if k != "$") + ")"
-    if isinstance(v, (list, tuple)):
+    if isinstance(v, tuple):
+        return "(" + ", ".join(map(dumps, v)) + ")"
+    if isinstance(v, list):
         return "[" + ", ".join(map(dumps, v)) + "]"
     return repr(v)
