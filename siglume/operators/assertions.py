@@ -71,7 +71,15 @@ class Assert:
         return self._need(v is not None and v < limit, f"true peak {v} isn't below {limit}")
 
     def no_clipping(self) -> Assert:
-        return self._need(self.report["clipping"]["clipped_samples"] == 0, "samples are clipped")
+        """No sample at full scale, and no peak between samples above it either."""
+        c = self.report["clipping"]
+        return self._need(c["clipped_samples"] == 0 and not c["true_peak_over_0dbtp"], "samples or peaks between them are clipped")
+
+    def pitch_matches(self, names: list[str], cents: float = 50.0) -> Assert:
+        """The melody's notes are these in order, each within ``cents`` of its pitch."""
+        got = self.report["pitch"]["melody"]
+        ok = [n["name"] for n in got] == list(names) and all(abs(n["cents"]) <= cents for n in got)
+        return self._need(ok, f"the melody is {[n['name'] for n in got]}")
 
     def onset_count(self, low: int, high: int) -> Assert:
         n = self.report["onsets"]["count"]
@@ -106,3 +114,16 @@ class Assert:
     def matches(self, other: dict, tier: str = "tier2") -> Assert:
         v = compare(self.report, other, self.report == other)["verdict"]
         return self._need(v["kind"] in ("identical", tier), f"the reports differ in {v['dimensions']}")
+
+
+def compare_text(result: dict) -> str:
+    """A comparison as a few lines of text; undefined differences read ``-``."""
+    num = lambda v, p, unit: "-" if v is None else f"{v:+.{p}f} {unit}"
+    d, v = result["deltas"], result["verdict"]
+    lines = [
+        "verdict " + v["kind"] + (" (" + ", ".join(v["dimensions"]) + ")" if v["dimensions"] else ""), f"duration {num(d['duration_ms'], 1, 'ms')}", f"loudness {num(d['integrated'], 2, 'LU')}", f"pitch {num(d['cents'], 1, 'cents')}",
+        f"onsets matched={d['onsets']['matched']} only_a={d['onsets']['unmatched_a']} only_b={d['onsets']['unmatched_b']} worst={d['onsets']['max_offset_ms']:.1f} ms",
+    ]
+    if "timbre" in d:
+        lines.append(f"timbre distance={d['timbre']:.2f}")
+    return "\n".join(lines) + "\n"

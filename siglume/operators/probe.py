@@ -65,6 +65,31 @@ def digest(report: dict) -> str:
     return "\n".join(lines) + "\n"
 
 
+def timeline_text(rows: list[dict], most: int = 40, least: int = 3) -> str:
+    """Windows of one signal as lines: merged into equal buckets so that ``most`` lines do, then ``least`` and more silent lines as one."""
+    num = lambda v, p: "-" if v is None else f"{v:.{p}f}"
+    width, lines = max(1, -(-len(rows) // most)), []
+    merged = [rows[k : k + width] for k in range(0, len(rows), width)]
+    silent = [all(r["silent"] for r in part) for part in merged]
+    k = 0
+    while k < len(merged):
+        run = k
+        while run < len(merged) and silent[run]:
+            run += 1
+        last = run if run - k >= least else k + 1
+        part = [r for p in merged[k:last] for r in p]
+        name = f"{part[0]['index']}" + (f"-{part[-1]['index']}" if len(part) > 1 else "")
+        if run - k >= least:
+            lines.append(f"{name} silent ({(part[-1]['end_ms'] - part[0]['start_ms']) / 1000:.1f} s)")
+        else:
+            top = lambda c: max((r[c] for r in part if r[c] is not None), default=None)
+            f0 = sorted(r["f0_hz"] for r in part if r["f0_hz"] is not None)
+            mid = (f0[(len(f0) - 1) // 2] + f0[len(f0) // 2]) / 2 if f0 else None
+            lines.append(f"{name} rms={num(top('rms_db'), 1)} peak={num(top('peak_db'), 1)} onsets={sum(r['onsets'] for r in part)} f0={num(mid, 1)}" + (" silent" if silent[k] else ""))
+        k = last
+    return f"timeline rows={len(lines)}\n" + "".join(x + "\n" for x in lines)
+
+
 def transcribe(packed: DataFrame, ppq: int = 480, bpm: float = 120.0, grid: int = 120) -> DataFrame:
     """``signal_id, start_tick, ticks, midi, vel``: melody notes on a grid, the first of equal starts, cut at the next start."""
 

@@ -119,3 +119,34 @@ def check_brightness(specs: DataFrame, curve: DataFrame, key: str) -> DataFrame:
     falls = F.col("first") >= F.col("last") * F.col("ratio")
     ok = F.when(F.col("kind") == "brightness_rises", rises).otherwise(falls) & (F.col("b") > F.col("a"))
     return both.select("spec_id", F.coalesce(ok, F.lit(False)).alias("passed"), F.try_divide("last", "first").alias("actual"))
+
+
+#: Checks of the text form: kind, and where its two numbers and its ratio stand (a field, or a fixed number).
+SPEC_KINDS = {
+    "IntegratedLufs": ("integrated_lufs", "target", "tol"), "TruePeakBelow": ("true_peak_below", "dbtp", 0.0), "LraBelow": ("lra_below", "lu", 0.0), "TempoIs": ("tempo_is", "bpm", "tol_bpm"),
+    "HasClearRhythm": ("has_clear_rhythm", "expected", 0.0), "GridAlignmentAtLeast": ("grid_alignment_at_least", "min", 0.0), "StereoWidthWithin": ("stereo_width_within", "min", "max"),
+    "SectionCount": ("section_count", "min", "max"), "OnsetAt": ("onset_at", "at", "tol_ms"), "PitchMatchesScore": ("pitch_matches_score", "tol_cents", 0.0), "NoDiscontinuity": ("no_discontinuity", "db", 0.0),
+    "SilentAfter": ("silent_after", "at", -60.0), "BrightnessRises": ("brightness_rises", "from", "to"), "BrightnessFalls": ("brightness_falls", "from", "to"), "Monotone": ("monotone", "from", "to"),
+}
+
+
+def spec_rows(score, signal: str) -> list[tuple[int, str, str, float, float, float]]:
+    """``(spec_id, key, kind, a, b, ratio)`` of a score's checks, for the operators above: positions become milliseconds by its
+    tempo map, a level of jumps a linear one; a check of a track is keyed ``signal/track``, of the mix ``signal``."""
+
+    def ms(place) -> float:
+        tick, total = score.position(*place), 0.0
+        steps = score.tempos
+        for k, (start, npq) in enumerate(steps):
+            end = steps[k + 1][0] if k + 1 < len(steps) else tick
+            total += max(0, min(tick, end) - start) * npq / score.ppq / 1e6
+        return total
+
+    out = []
+    for n, (kind, fields) in enumerate(score.specs):
+        f = dict(fields)
+        name, *where = SPEC_KINDS[kind]
+        a, b = (w if isinstance(w, float) else ms(f[w]) if w in ("at", "from", "to") else float(f[w]) for w in where)
+        a = 10 ** (-a / 20) if name == "no_discontinuity" else a
+        out.append((n, f"{signal}/{f['track']}" if "track" in f else signal, name, a, b, float(f.get("min_ratio", 0.0))))
+    return out
