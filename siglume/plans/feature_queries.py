@@ -239,3 +239,19 @@ def compare_verdict(spark, sf_dir):
     q = r.unionByName(r.where("id % 7 = 0").withColumn("id", F.col("id") + 100_000))
     pairs = q.select(F.col("id").alias("a"), F.explode(F.array(F.col("id") + 1, F.col("id") + 100_000)).alias("b"))
     return digests.verdicts(q, pairs)
+
+
+@query(with_views("sig") + f""", f AS (SELECT user_id, i, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x FROM sig), s AS (SELECT user_id, count(*) AS n, max(abs(x)) AS pk, sqrt(avg(x * x)) AS rms, count(*) FILTER (abs(x) >= 1) AS clipped FROM f GROUP BY 1)
+SELECT CAST(user_id AS VARCHAR) AS signal_id, n AS samples, round(n / 8.0, 6) AS duration_ms, round({DB.format('pk')}, 5) AS sample_peak, clipped, CASE WHEN coalesce({DB.format('rms')} > -60, false) THEN CAST(0 AS DOUBLE) ELSE round(n / 8.0, 6) END AS leading_ms FROM s WHERE n < 400""")
+def probe_fields(spark, sf_dir):
+    """Fields of the whole-signal report, read back from its JSON: signals shorter than one silence window."""
+    from siglume.operators import probe
+    from siglume.sources import wav
+
+    r = probe.probe(wav.pack(sig_events(spark, sf_dir), "user_id", 8_000))
+    shape = "struct<source:struct<samples:bigint,duration_ms:double>,loudness:struct<sample_peak:double>,clipping:struct<clipped_samples:bigint>,silence:struct<leading_ms:double>>"
+    j = r.select("signal_id", F.from_json("report", shape).alias("r")).where("r.source.samples < 400")
+    return j.select(
+        "signal_id", F.col("r.source.samples").alias("samples"), F.round("r.source.duration_ms", 6).alias("duration_ms"), F.round("r.loudness.sample_peak", 5).alias("sample_peak"),
+        F.col("r.clipping.clipped_samples").alias("clipped"), F.round("r.silence.leading_ms", 6).alias("leading_ms"),
+    )
