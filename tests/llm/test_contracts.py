@@ -541,3 +541,17 @@ def test_outliers_against_plain_estimates(spark):
         want = far(estimate(v[d2 <= scale * quality_rules._chi2(0.99, d)]))
         assert [x.distance for x in mine] == pytest.approx(want.tolist(), rel=1e-6, abs=1e-9)
         assert [x.kept for x in mine] == (want <= quality_rules._chi2(1 - quality_rules.TAIL, d)).tolist()
+
+
+def test_classifier_on_held_out_labels(spark):
+    """Trained with half of the labels, judged by the other half."""
+    from siglume.llm.common import table
+
+    sf = "/root/testdata/sf0.1"
+    labels = table(spark, sf, "labels").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    rated = quality_classifier.classify(table(spark, sf, "documents").select("doc_id", "text"), labels.where("half = 0"))
+    seen = rated.join(labels.where("half = 1").select("doc_id", "quality", F.col("toxic").alias("bad")), "doc_id")
+    clean = seen.where("quality = 1 and bad = 0").agg(F.avg(F.col("kept").cast("int"))).first()[0]
+    low = seen.where("quality = 0 and bad = 0").agg(F.avg((~F.col("kept")).cast("int"))).first()[0]
+    toxic = seen.where("bad = 1").agg(F.avg((~F.col("kept")).cast("int"))).first()[0]
+    assert clean > 0.995 and low > 0.75 and toxic > 0.6
