@@ -29,14 +29,14 @@ def _rule(h: str, p: str, out: int) -> str:
     return "CASE " + " ".join(cases) + " END"
 
 
-OP2 = f"""WITH RECURSIVE p AS (SELECT page_id, {_host('url')} AS host, {_path('url')} AS path, {_norm('trim(url)')} AS node, {_plain('trim(url)')} AS at,
+OP2 = f"""WITH RECURSIVE p AS (SELECT page_id, {_host('url')} AS host, {_path('url')} AS path, {_norm('trim(url)')} AS node, {_plain('trim(url)')} AS plain,
 regexp_extract(regexp_extract(html, '(?i)<link\\b[^>]*?\\brel\\s*=\\s*["'']?canonical["'']?[^>]*>'), '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS can,
 regexp_extract(regexp_extract(html, '(?i)<meta\\b[^>]*?http-equiv\\s*=\\s*["'']?refresh["'']?[^>]*>'), '(?i)url\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS red FROM pages),
-half AS (SELECT node AS u, {_norm('trim(can)')} AS v, at AS u_at, {_plain('trim(can)')} AS v_at FROM p WHERE can <> '' UNION ALL SELECT node, {_norm('trim(red)')}, at, {_plain('trim(red)')} FROM p WHERE red <> ''),
-member AS (SELECT u AS node, u_at AS at FROM half WHERE u <> v UNION SELECT v, v_at FROM half WHERE u <> v),
+half AS (SELECT node AS u, {_norm('trim(can)')} AS v, plain AS u_at, {_plain('trim(can)')} AS v_at FROM p WHERE can <> '' UNION ALL SELECT node, {_norm('trim(red)')}, plain, {_plain('trim(red)')} FROM p WHERE red <> ''),
+member AS (SELECT u AS node, u_at AS plain FROM half WHERE u <> v UNION SELECT v, v_at FROM half WHERE u <> v),
 e AS (SELECT u, v FROM half WHERE u <> v UNION SELECT v, u FROM half WHERE u <> v),
 reach AS (SELECT u AS a, u AS b FROM e UNION SELECT r.a, e.v FROM reach r JOIN e ON e.u = r.b),
-said AS (SELECT a, min({_rule("regexp_extract(at, '^[^/?]*')", "regexp_extract(at, '^[^/?]*([^?]*)', 1)", 1)}) AS v FROM reach JOIN member ON node = b GROUP BY 1)
+said AS (SELECT a, min({_rule("regexp_extract(plain, '^[^/?]*')", "regexp_extract(plain, '^[^/?]*([^?]*)', 1)", 1)}) AS v FROM reach JOIN member ON node = b GROUP BY 1)
 SELECT page_id, host, path, {_rule('host', 'path', 0)} AS rule, coalesce({_rule('host', 'path', 1)}, v, 'allow') AS verdict,
 ({_rule('host', 'path', 0)} IS NULL AND v IS NOT NULL) AS via_alias FROM p LEFT JOIN said ON p.node = said.a"""
 
