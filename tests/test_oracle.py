@@ -9,7 +9,7 @@ import pytest
 
 from siglume.plans.registry import ORACLE_SQL, QUERIES
 
-SIZES = ("sf0.001", "sf0.01")
+SIZES = ("sf0.01",)
 
 
 @pytest.fixture(scope="module")
