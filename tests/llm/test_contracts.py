@@ -555,3 +555,14 @@ def test_classifier_on_held_out_labels(spark):
     low = seen.where("quality = 0 and bad = 0").agg(F.avg((~F.col("kept")).cast("int"))).first()[0]
     toxic = seen.where("bad = 1").agg(F.avg((~F.col("kept")).cast("int"))).first()[0]
     assert clean > 0.995 and low > 0.75 and toxic > 0.6
+
+
+def test_declared_edges_plan(spark, monkeypatch):
+    """No column of a declared link is spelled out again for every use of it, neither when edges are made nor when they are read."""
+    sizes, write = [], url_filter.materialize
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    monkeypatch.setattr(url_filter, "materialize", lambda df, *a: sizes.append(size(df)) or write(df, *a))
+    pages = [(1, "http://a.info/d/p", '<base href="/e/"><link rel="canonical" href="../q?x=1">'), (2, "http://a.info/q?x=1", '<meta http-equiv="refresh" content="0;url=#z">')]
+    got = url_filter.declared_edges(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert [tuple(r) for r in got.collect()] == [("a.info/d/p", "a.info/q?x=1", "a.info/d/p", "a.info/q?x=1")]
+    assert max([*sizes, size(got)]) < 100_000
