@@ -2,10 +2,11 @@
 
 Groups (equal texts) are vectors of bytes, tokens (words between ASCII white space) and rows. Each group goes where the
 dot product of its vector with the shards' residual capacity is highest, among the shards that have room for it in all
-three. Groups under ``1 / (shards * grain)`` of all
+three; where none has, room for its bytes decides, since bytes are the law. Groups under ``1 / (shards * grain)`` of all
 bytes are first merged by hash into ``cells`` cells, so the sequential part sees a bounded number of
-vectors (``shards * grain * 9 + cells`` at most) however many documents there are; a group above an
-eighth of a shard is placed in pieces, since one group may hold a third of all rows.
+vectors (``shards * (grain + WHOLE + FINE) + cells`` at most) however many documents there are; a group above an
+eighth of a shard is placed in pieces of a 64th, since one group may hold nearly all rows and larger pieces would not
+come out even.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import materialize
 
-PIECE = 8  # a piece of a large group is at most this part of a shard
+WHOLE = 8  # a group above this part of a shard is cut
+FINE = 64  # into pieces of this part of a shard
 
 
 def place(vectors: np.ndarray, shards: int, weights=(2.0, 1.0, 1.0)) -> np.ndarray:
     """Shard of each vector (rows of ``vectors``): largest first, highest dot product with the residual.
 
-    Shards that can't take the vector in all its parts only count when none can: then the one that it overfills least.
+    Shards that can't take the vector in all its parts only count when none can: then, of those with room in its first part
+    (bytes), the one that it overfills least; where there is none either, the one with most room in that part.
     """
     total = np.maximum(vectors.sum(axis=0), 1e-12)
     v = vectors / total
@@ -29,10 +32,16 @@ def place(vectors: np.ndarray, shards: int, weights=(2.0, 1.0, 1.0)) -> np.ndarr
     w = np.asarray(weights)
     out = np.zeros(len(v), dtype=np.int64)
     for i in np.argsort(-v.max(axis=1), kind="stable"):
-        gain = residual @ (w * v[i])
-        fits = (residual >= v[i]).all(axis=1)
-        out[i] = b = int(np.argmax(np.where(fits, gain, -np.inf)) if fits.any() else np.argmin((v[i] - residual).max(axis=1)))
-        residual[b] -= v[i]
+        left = residual - v[i]
+        fits = (left >= 0).all(axis=1)
+        if fits.any():
+            b = np.argmax(np.where(fits, residual @ (w * v[i]), -np.inf))
+        elif (first := left[:, 0] >= 0).any():
+            b = np.argmax(np.where(first, left.min(axis=1), -np.inf))
+        else:
+            b = np.argmax(left[:, 0])
+        out[i] = b
+        residual[b] = left[b]
     return out
 
 
@@ -75,8 +84,8 @@ def pack(docs: DataFrame, shards: int = 16, cells: int = 16384, grain: int = 64)
         .collect()
     )  # at most `cells` rows
     vectors, names = [], []
-    pieces = {(g["g"], g["g2"]): min(g["r"], -(-g["b"] * PIECE * shards // max(total, 1))) for g in large}
-    cut = [(*k, n) for k, n in pieces.items() if n > 1]  # shards * PIECE pieces and as many groups at most
+    pieces = {(g["g"], g["g2"]): min(g["r"], -(-g["b"] * FINE * shards // total)) if g["b"] * WHOLE * shards > total else 1 for g in large}
+    cut = [(*k, n) for k, n in pieces.items() if n > 1]  # shards * WHOLE groups and shards * (WHOLE + FINE) pieces at most
     shares: dict = {}
     if cut:
         of_cut = F.broadcast(spark.createDataFrame(cut, "g long, g2 long, pieces long"))

@@ -566,3 +566,10 @@ def test_declared_edges_plan(spark, monkeypatch):
     got = url_filter.declared_edges(spark.createDataFrame(pages, "page_id long, url string, html string"))
     assert [tuple(r) for r in got.collect()] == [("a.info/d/p", "a.info/q?x=1", "a.info/d/p", "a.info/q?x=1")]
     assert max([*sizes, size(got)]) < 100_000
+
+
+def test_shards_of_three_texts(spark):
+    """Three groups hold everything, and their pieces are no multiple of the shards: bytes still come out even."""
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("copy of it " * 9), F.col("id") % 3).alias("text"))
+    load = [r["b"] for r in sharding.pack(docs, shards=16).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(load) == 16 and max(load) < 1.03 * min(load)
