@@ -10,14 +10,15 @@ from siglume.functions.scalars import lags_agree, tempo_prior
 def autocorrelation(env: DataFrame, key: str, low: int, high: int, rate: float) -> DataFrame:
     """``key, lag, clarity, weighted``: mean-removed, length-unbiased, normalised by the variance, clamped to 0..1,
     and weighted by the tempo prior. Signals without variance or shorter than the longest lag plus 2 have no rows."""
-    stats = env.groupBy(key).agg(F.avg("x").alias("mean"), F.count("*").alias("n"))
-    c = env.join(stats, key).where(F.col("n") > high + 1).select(key, "i", "n", (F.col("x") - F.col("mean")).alias("d"))
-    power = c.groupBy(key).agg(F.sum(F.col("d") * F.col("d")).alias("ac0")).where("ac0 > 2.220446049250313e-16")
-    lags = F.explode(F.sequence(F.lit(low), F.lit(high)))
-    a = c.select(key, "n", F.col("d").alias("a"), lags.alias("lag"), "i").withColumn("i", F.col("i") + F.col("lag"))
-    s = a.join(c.select(key, "i", F.col("d").alias("b")), [key, "i"]).groupBy(key, "lag", "n").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
+    whole, d = W.partitionBy(key), F.col("d")
+    c = env.where(F.col(key).isNotNull()).withColumns({"mean": F.avg("x").over(whole), "n": F.count("*").over(whole)}).where(F.col("n") > high + 1)
+    c = c.select(key, "i", "n", (F.col("x") - F.col("mean")).alias("d")).withColumn("ac0", F.sum(d * d).over(whole)).where("ac0 > 2.220446049250313e-16")
+    # later samples come from a window of the signal, not from a join on the place: that would deal out each sample once for every lag
+    later = F.collect_list(F.struct("i", "d")).over(whole.orderBy("i").rangeBetween(low, high))
+    pairs = c.withColumn("later", later).select(key, "n", "ac0", "i", "d", F.explode("later").alias("b"))
+    out = pairs.groupBy(key, (F.col("b.i") - F.col("i")).alias("lag"), "n", "ac0").agg(F.sum(d * F.col("b.d")).alias("s"))
     clarity = F.least(F.greatest(F.col("s") * F.col("n") / (F.col("ac0") * (F.col("n") - F.col("lag"))), F.lit(0.0)), F.lit(1.0))
-    out = s.join(power, key).withColumn("clarity", clarity)
+    out = out.withColumn("clarity", clarity)
     return out.select(key, F.col("lag").cast("long").alias("lag"), "clarity", (F.col("clarity") * tempo_prior(rate * 60.0 / F.col("lag"))).alias("weighted"))
 
 

@@ -4,10 +4,13 @@ import datetime
 import random
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from siglume.operators import tempo
 from siglume.plans import feature_queries
 from siglume.plans.registry import ORACLE_SQL, QUERIES
+from siglume.sources.views import sig_events
 
 
 def write_events(spark, folder, rows):
@@ -27,6 +30,19 @@ def by_sql(folder, name):
     return [dict(zip(q.columns, r)) for r in q.fetchall()]
 
 
+def plan_at_size(spark, make):
+    """The plan that large tables get: no broadcast joins, reused shuffles shown."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        return make()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_eval_rate_takes_each_mean_once(spark, monkeypatch):
     """Means half way between two roundings, off by less than a rounding of additions each time they are computed."""
     noise = F.udf(lambda v: v + random.choice((-1, 1)) * 1e-15, "double").asNondeterministic()
@@ -42,3 +58,28 @@ def test_eval_rate_counts_absent_references_only(spark, tmp_path):
     got = [r.asDict() for r in QUERIES["eval_rate"](spark, d).collect()]
     assert got == by_sql(tmp_path, "eval_rate")
     assert got[0]["missing"] == 2 and got[0]["passed"] == 2
+
+
+def test_autocorrelation_shuffles_each_sample_once(spark, sf_dir):
+    plan = plan_at_size(spark, lambda: tempo.autocorrelation(sig_events(spark, sf_dir), "user_id", 3, 20, 10.0))
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_autocorrelation_of_odd_signals(spark):
+    """Gaps between places, values that are null, signals too short or without variance, rows without a key."""
+    rng = random.Random(5)
+    rows = [(1, i, rng.random()) for i in range(60) if i % 7 != 3] + [(2, i, None if i == 9 else rng.random()) for i in range(40)]
+    rows += [(3, i, rng.random()) for i in range(6)] + [(4, i, 2.0) for i in range(30)] + [(None, i, rng.random()) for i in range(30)]
+    low, high = 2, 5
+    got = tempo.autocorrelation(spark.createDataFrame(rows, "k long, i long, x double"), "k", low, high, 10.0).collect()
+    want = {}
+    for k in (1, 2):
+        x = {i: v for u, i, v in rows if u == k}
+        there = [v for v in x.values() if v is not None]
+        mean = sum(there) / len(there)
+        d = {i: v - mean for i, v in x.items() if v is not None}
+        for lag in range(low, high + 1):
+            s = sum(d[i] * d[i + lag] for i in d if i + lag in d)
+            want[k, lag] = min(max(s * len(x) / (sum(v * v for v in d.values()) * (len(x) - lag)), 0.0), 1.0)
+    assert {(r.k, r.lag) for r in got} == set(want) and len(got) == len(want)
+    assert all(r.clarity == pytest.approx(want[r.k, r.lag], abs=1e-9) for r in got)
