@@ -66,16 +66,19 @@ def loudness(power: Column) -> Column:
     return F.when(power > 0, -0.691 + 10 * F.log10(power))
 
 
+def _gated(sig: DataFrame, key: str, block: int, absolute: float, relative: float) -> DataFrame:
+    """Block powers ``p`` above an absolute gate and one relative to their mean. The mean is a window's, so no block is dealt out again."""
+    p = F.col("p")
+    blocks = sig.where(F.col(key).isNotNull()).withColumn("p", rolling_power(sig, key, block)).where(p.isNotNull()).where(loudness(p) > absolute)
+    return blocks.withColumn("gate", loudness(F.avg(p).over(W.partitionBy(key))) + relative).where(loudness(p) > F.col("gate"))
+
+
 def gated_loudness(sig: DataFrame, key: str, block: int = 4, absolute: float = -70.0, relative: float = -10.0) -> DataFrame:
     """Two-pass gated mean of overlapping block powers: absolute gate, then a gate relative to the first mean."""
-    blocks = sig.withColumn("p", rolling_power(sig, key, block)).where("p is not null").where(loudness(F.col("p")) > absolute)
-    first = blocks.groupBy(key).agg((loudness(F.avg("p")) + relative).alias("gate"))
-    return blocks.join(first, key).where(loudness(F.col("p")) > F.col("gate")).groupBy(key).agg(loudness(F.avg("p")).alias("lufs"), F.count("*").alias("blocks"))
+    return _gated(sig, key, block, absolute, relative).groupBy(key).agg(loudness(F.avg("p")).alias("lufs"), F.count("*").alias("blocks"))
 
 
 def loudness_range(sig: DataFrame, key: str, block: int = 30) -> DataFrame:
     """10th to 95th percentile of short-term loudness above an absolute gate of -70 and a relative one of -20."""
-    blocks = sig.withColumn("p", rolling_power(sig, key, block)).where("p is not null").where(loudness(F.col("p")) > -70)
-    gate = blocks.groupBy(key).agg((loudness(F.avg("p")) - 20).alias("gate"))
-    live = blocks.join(gate, key).where(loudness(F.col("p")) > F.col("gate")).withColumn("s", loudness(F.col("p")))
+    live = _gated(sig, key, block, -70.0, -20.0).withColumn("s", loudness(F.col("p")))
     return live.groupBy(key).agg(F.expr("percentile(s, 0.95) - percentile(s, 0.1)").alias("lra"))

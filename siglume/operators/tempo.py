@@ -99,10 +99,11 @@ def grid_points(onsets: DataFrame, beats: DataFrame, key: str, width: float = 10
     """
     w = W.partitionBy(key).orderBy("t")
     b = beats.withColumns({"nx": F.lead("t").over(w), "pv": F.lag("t").over(w)})
-    mid = b.where("nx is not null").select(key, F.col("t").alias("a"), F.col("nx").alias("b"), F.lit(False).alias("last"))
-    tail = b.where("nx is null and pv is not null").select(key, F.col("t").alias("a"), (2 * F.col("t") - F.col("pv")).alias("b"), F.lit(True).alias("last"))
-    head = b.where("pv is null and nx is not null").select(key, (2 * F.col("t") - F.col("nx")).alias("a"), F.col("t").alias("b"), F.lit(False).alias("last"))
-    spans = mid.unionByName(tail).unionByName(head).where("b > a")
+    t, nx, pv = F.col("t"), F.col("nx"), F.col("pv")
+    span = lambda there, a, b, last: F.when(there, F.struct(a.alias("a"), b.alias("b"), F.lit(last).alias("last")))
+    mid, tail = span(nx.isNotNull(), t, nx, False), span(nx.isNull() & pv.isNotNull(), t, 2 * t - pv, True)
+    head = span(pv.isNull() & nx.isNotNull(), 2 * t - nx, t, False)
+    spans = b.select(key, F.explode(F.array_compact(F.array(mid, tail, head))).alias("s")).select(key, "s.*").where("b > a")
     bucket = lambda c: F.floor(c / width)
     spans = spans.withColumn("_k", F.explode(F.sequence(bucket(F.col("a")), bucket(F.col("b")))))
     hit = onsets.withColumn("_k", bucket(F.col("t"))).join(spans, [key, "_k"]).where((F.col("t") >= F.col("a")) & ((F.col("t") < F.col("b")) | (F.col("last") & (F.col("t") == F.col("b")))))

@@ -50,13 +50,14 @@ BASE = with_views("sig", "stereo", recursive=True) + NMS + BEATS + TEMPO + STERE
 
 
 def _onsets(spark, sf_dir):
-    return onsets.onsets(sig_events(spark, sf_dir), "user_id", scale=1.5, min_gap=3)
+    # rows without a user match nothing; without them all branches of a plan read the same shuffled rows
+    return onsets.onsets(sig_events(spark, sf_dir).where("user_id is not null"), "user_id", scale=1.5, min_gap=3)
 
 
 def features(spark, sf_dir):
     """One row a signal: loudness, peak, range, tempo, rhythm, width, sections."""
     sig = sig_events(spark, sf_dir)
-    base = sig.groupBy("user_id").agg(lin_to_db(F.max(F.abs("x"))).alias("true_peak"), F.count("*").alias("n"), F.max("i").alias("m"))
+    base = sig.groupBy("user_id").agg(lin_to_db(F.max(F.abs("x"))).alias("true_peak"), F.count("*").alias("n")).withColumn("m", F.col("n") - 1)  # places count from 0
     ac = tempo.autocorrelation(sig, "user_id", LOW, HIGH, RATE).where("weighted > 0")
     best = ac.groupBy("user_id").agg(F.min_by(F.struct("lag", "clarity"), F.struct(-F.col("weighted"), "lag")).alias("b"))
     bpm = best.select("user_id", (RATE * 60 / F.col("b.lag")).alias("bpm"), F.col("b.clarity").alias("clarity"))
@@ -68,6 +69,7 @@ def features(spark, sf_dir):
     out = base.join(levels.gated_loudness(sig, "user_id").drop("blocks"), "user_id", "left").join(levels.loudness_range(sig, "user_id"), "user_id", "left")
     out = out.join(bpm, "user_id", "left").join(count, "user_id", "left").join(grid, "user_id", "left").join(width, "user_id", "left")
     out = out.withColumns({"alignment": F.greatest("four", "three") / F.col("hits"), "rate": F.coalesce("hits", F.lit(0)) / (F.col("n") / 10)})
+    out = out.withColumn("grid", F.when(F.col("hits").isNotNull(), F.coalesce("grid", F.lit("straight"))))  # onsets without a beat fit no triplets
     clear = (F.coalesce("clarity", F.lit(0.0)) >= 0.1) & (F.col("rate") >= 0.5) & (F.coalesce("alignment", F.lit(0.0)) >= 0.7)
     return out.select("user_id", "lufs", "true_peak", "lra", "bpm", clear.cast("double").alias("clear"), "alignment", "width", (F.least(F.coalesce("hits", F.lit(0)), F.lit(11)) + 1).cast("double").alias("sections"), "grid", "rate", "clarity")
 

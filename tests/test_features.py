@@ -83,3 +83,29 @@ def test_autocorrelation_of_odd_signals(spark):
             want[k, lag] = min(max(s * len(x) / (sum(v * v for v in d.values()) * (len(x) - lag)), 0.0), 1.0)
     assert {(r.k, r.lag) for r in got} == set(want) and len(got) == len(want)
     assert all(r.clarity == pytest.approx(want[r.k, r.lag], abs=1e-9) for r in got)
+
+
+@pytest.mark.parametrize("name", ["gated_loudness", "loudness_range"])
+def test_gates_shuffle_each_sample_once(spark, sf_dir, name):
+    plan = plan_at_size(spark, lambda: QUERIES[name](spark, sf_dir))
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["signal_features", "verify_specs"])
+def test_features_shuffle_samples_once_for_all_branches(spark, sf_dir, name):
+    plan = plan_at_size(spark, lambda: QUERIES[name](spark, sf_dir))
+    assert len([line for line in plan.splitlines() if "FileScan" in line and "ts#" in line]) == 1
+
+
+@pytest.mark.parametrize("name", ["signal_features", "verify_specs"])
+def test_features_of_odd_signals(spark, tmp_path, name):
+    """Signals of one to 80 samples, some too short for a beat, and rows without a user. (The SQL divides by zero for constant ones.)"""
+    rng = random.Random(3)
+    rows = [(u, round(rng.uniform(0, 512), 2)) for u, n in ((1, 1), (2, 4), (3, 21), (4, 22), (5, 30), (6, 80), (None, 45)) for _ in range(n)]
+    d = write_events(spark, tmp_path, rows)
+    spark.createDataFrame([(s, rng.random(), rng.random()) for s in (1, 4, 6, 6, 7, None)], "l_suppkey long, l_discount double, l_tax double").write.parquet(f"{d}/lineitem.parquet")
+    order = lambda r: str((r.get("spec_id"), r["user_id"]))
+    got, want = sorted((r.asDict() for r in QUERIES[name](spark, d).collect()), key=order), sorted(by_sql(tmp_path, name), key=order)
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a == {k: pytest.approx(v, abs=2e-6) if isinstance(v, float) else v for k, v in b.items()}
