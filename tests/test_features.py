@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siglume.operators import tempo
-from siglume.plans import feature_queries
+from siglume.plans import feature_queries, note_queries
 from siglume.plans.registry import ORACLE_SQL, QUERIES
 from siglume.sources.views import sig_events
 
@@ -51,6 +51,17 @@ def test_eval_rate_takes_each_mean_once(spark, monkeypatch):
     assert QUERIES["eval_rate"](spark, "").first().asDict() == {"files": 600, "missing": 200, "passed": 320, "rate": round(320 / 600, 9)}
 
 
+def test_eval_join_takes_each_mean_once(spark, tmp_path, monkeypatch):
+    """The same means; then a file without a mean, which differs from its reference, and one without a name, which has none."""
+    d = write_events(spark, tmp_path, [(1, None), (2, 51.2), (3, 7.0), (-1, 4.0), (None, 3.0)])
+    assert {(r.id, r.status) for r in QUERIES["eval_join"](spark, d).collect()} == {tuple(r.values()) for r in by_sql(tmp_path, "eval_join")}
+    noise = F.udf(lambda v: v + random.choice((-1, 1)) * 1e-15, "double").asNondeterministic()
+    sig = spark.range(600).select(F.col("id").alias("user_id"), F.lit(0).cast("long").alias("i"), noise(F.lit(0.1234565)).alias("x"))
+    monkeypatch.setattr(note_queries, "sig_events", lambda *_: sig)
+    got = QUERIES["eval_join"](spark, "").groupBy("status").count().collect()
+    assert {r["status"]: r["count"] for r in got} == {"identical": 400, "missing_reference": 200}
+
+
 def test_eval_rate_counts_absent_references_only(spark, tmp_path):
     """A file without a mean has a reference still; one without a name has none."""
     rows = [(1, None), (1, None), (2, 51.2), (3, 7.0), (5, 1.0), (-1, 4.0), (-5, 4.0), (None, 3.0)]
